@@ -24,8 +24,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.expr("fp[0]")), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from . import tokens
+
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    folder = C.shared_dir(spark, "records")
+    shards = tokens.write(C.documents(spark, sf_dir), folder, tokenizer)
+    return tokens.read(shards, folder)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.deduplicate(C.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_token_records": op7_token_records,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
