@@ -8,6 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import mixing
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    docs = C.documents(spark, sf_dir)
+    placed = sharding.shard(docs, C.shared_dir(spark, "shards"))
+    return placed.select("doc_id", "source", "shard", "generation", "shard_docs", "shard_bytes")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(C.documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +57,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op7_token_records": op7_token_records,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE}
