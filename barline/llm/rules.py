@@ -160,7 +160,8 @@ def apply(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: flo
 def with_trust(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds ``trusted``: the row's key has a label of quality 1 (once, however often it is labelled)."""
     good = labels.filter("quality = 1").select(F.col(key).alias("__k")).distinct().withColumn("trusted", F.lit(True))
-    return docs.select(key, "text").join(good, F.col(key) == F.col("__k"), "left").drop("__k")
+    # Both sides grow with the corpus: one plan at every size, and no broadcast of ids.
+    return docs.select(key, "text").join(good.hint("merge"), F.col(key) == F.col("__k"), "left").drop("__k")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
