@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import mixing
+from . import lm, mixing
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.expr("fp[0]")), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import classifier
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classifier.classify(C.documents(spark, sf_dir), labels)
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(C.documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from . import tokens
 
@@ -50,6 +62,15 @@ def op7_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return tokens.read(shards, folder)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    folder = C.shared_dir(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.read(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix
 
@@ -60,8 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op5_classifier": op5_classifier,
+    "op6_lm_scores": op6_lm_scores,
     "op7_token_records": op7_token_records,
+    "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_lm_scores": lm.ORACLE}
