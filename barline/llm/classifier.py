@@ -44,8 +44,8 @@ def describe(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     lines = C.per_row(buf == 10, offs) + 1
     starts, ends, rows = C.word_spans(buf, offs)
     h = C.span_hash(C.prefix_hash(buf), starts, ends)
-    _, firsts = np.unique(C.join2(h, rows.astype(np.uint64)), return_index=True)
-    distinct = np.bincount(rows[firsts], minlength=len(size))
+    order, head, _ = C.grouped(C.join2(h, rows.astype(np.uint64)))
+    distinct = np.bincount(rows[order[head]], minlength=len(size))
     lens = ends - starts
     mean = s["word_chars"] / words
     square = np.bincount(rows, weights=lens.astype(float) ** 2, minlength=len(size)) / words

@@ -8,7 +8,9 @@ bytes other than U+0020 and U+0009..U+000D; a null text has no words.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,7 +61,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the driver's cleaner drop shuffle files that no live frame refers to."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references go first, then the JVM's
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small(df: DataFrame, row_bytes: int, n_rows: int) -> DataFrame:
@@ -117,6 +123,16 @@ def join2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _BASE + (b ^ (b >> np.uint64(31))) * _M1 + np.uint64(0x51ED27))
 
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A cheaper ``join2``, made in place on a new array."""
+    h = a * _BASE
+    h += b * _M2
+    h ^= h >> np.uint64(32)
+    h *= _M1
+    h ^= h >> np.uint64(29)
+    return h
+
+
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -177,13 +193,30 @@ def ngrams(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return out, rows[n - 1 :] == rows[: len(rows) - n + 1]
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys, sorted (numpy's hashing ``unique`` is many times slower than its sort)."""
+    s = np.sort(keys)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the keys, where each different key begins in it, and how often it occurs."""
+    # A plain sort is far faster than an argsort: sort the leading bits with the index in the low bits.
+    low = np.uint64((1 << max(1, int(len(keys)).bit_length())) - 1)
+    packed = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
+    order = (packed & low).astype(np.int64)
+    key = keys[order]
+    cut = (packed[1:] ^ packed[:-1]) <= low
+    if (key[1:][cut] != key[:-1][cut]).any():  # different keys with equal leading bits: rare, sort them whole
+        order = np.argsort(keys)
+        key = keys[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return order, head, np.diff(np.append(head, len(key)))
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur at least twice."""
-    if len(keys) < 2:
-        return np.zeros(len(keys), bool)
-    s = np.sort(keys)
-    again = np.unique(s[1:][s[1:] == s[:-1]])
-    if not len(again):
-        return np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(again, keys), len(again) - 1)
-    return again[at] == keys
+    order, _, size = grouped(keys)
+    out = np.zeros(len(keys), bool)
+    out[order] = np.repeat(size > 1, size)
+    return out

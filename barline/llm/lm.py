@@ -24,7 +24,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import math
 import struct
 from collections.abc import Iterator
@@ -93,7 +92,9 @@ def _tables(h: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarra
 
 
 def _distinct(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([k[ok] for k, ok in tables]), return_counts=True)
+    keys = np.concatenate([k[ok] for k, ok in tables])
+    order, head, size = C.grouped(keys)
+    return keys[order[head]], size
 
 
 def _edges(keys: np.ndarray, shift: int) -> np.ndarray:
@@ -181,7 +182,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     totals = C.stage(blocks.mapInArrow(explode, _KEYS).groupBy("bucket").applyInArrow(_sum, _TOTALS), "lm-totals")
-    gc.collect()
     C.release(spark)
     corpus = blocks.mapInArrow(n_words, "n long").agg(F.sum("n")).first()[0] or 0
     ln_backoff = math.log(backoff)
@@ -208,8 +208,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             for k, ok in tables:  # counts in all other documents, at each word
                 rest = np.zeros(len(k), np.int64)
                 pair = C.join2(k[ok], rows[ok].astype(np.uint64))
-                _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-                rest[ok] = total[np.searchsorted(keys, k[ok])] - own[back]
+                order, _, size = C.grouped(pair)
+                own = np.empty(len(pair), np.int64)
+                own[order] = np.repeat(size, size)
+                sorted_key, head, size = C.grouped(k[ok])
+                known = np.empty(len(own), np.int64)
+                known[sorted_key] = np.repeat(total[np.searchsorted(keys, k[ok][sorted_key[head]])], size)
+                rest[ok] = known - own
                 others.append(rest)
             ln = np.log((others[0] + 1.0) / (corpus - n[rows] + 1.0))
             for k in range(1, order):  # a longer context replaces the shorter one's value

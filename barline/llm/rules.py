@@ -120,8 +120,8 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     filled = with_word[line_ends] > with_word[line_starts]
     line_starts, line_ends, line_rows = line_starts[filled], line_ends[filled], line_rows[filled]
     lines = C.join2(C.span_hash(prefix, line_starts, line_ends), line_rows.astype(np.uint64))
-    _, firsts = np.unique(lines, return_index=True)
-    distinct = np.bincount(line_rows[firsts], minlength=rows_n)
+    order, head, _ = C.grouped(lines)
+    distinct = np.bincount(line_rows[order[head]], minlength=rows_n)
     return {
         "n_words": words,
         "word_chars": C.per_row(~space & ((buf & 0xC0) != 0x80), offs),

@@ -32,7 +32,6 @@ under ``LENGTH`` bytes stay; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -52,6 +51,7 @@ BLOCK = 4 << 20
 #: Bytes of text for each bucket of fingerprints.
 BUCKET = 32 << 20
 SAMPLE, PIECE, SUFFIX = 0, 1, 2
+_CHUNK = 1 << 15
 
 _PACKED = "block long, ids array<long>, lens array<long>, data binary"
 _KEYS = "kind int, bucket int, block long, keys binary"
@@ -111,29 +111,60 @@ class Block:
         data = pa.decompress(row["data"], decompressed_size=self.n, codec="zstd", asbytes=True) if self.n else b""
         self.data = data
         padded = np.frombuffer(data + bytes(72), np.uint8)
-        w = np.ndarray((self.n + 64,), np.uint64, padded, 0, (1,)).copy()
-        h16 = C.join2(w[:-8], w[8:])
-        del w
-        self.cuts = (h16[: self.n] & np.uint64(63)) == 0
-        self.depth = C.join2(h16[: self.n], h16[DEPTH - 16 : DEPTH - 16 + self.n])
-        h32 = C.join2(h16[: self.n + 18], h16[16 : 34 + self.n])
-        self.window = C.join2(h32[: self.n], h32[LENGTH - 32 : LENGTH - 32 + self.n])
+        w = np.ndarray((self.n + 64,), np.uint64, padded, 0, (1,))
+        self.h16 = np.empty(self.n + 56, np.uint64)
+        for k in range(0, len(self.h16), _CHUNK):  # stays in a core's cache
+            part = w[k : k + _CHUNK + 8].copy()
+            m = min(_CHUNK, len(self.h16) - k)
+            self.h16[k : k + m] = C.pair(part[:m], part[8 : 8 + m])
         self.rows = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
         change = [a != b for a, b in zip(self.ids[1:], self.ids[:-1], strict=True)]
         self.doc = np.concatenate([[0], np.cumsum(change)]).astype(np.int32) if len(lens) else np.zeros(0, np.int32)
-        at = np.arange(self.n) - self.offs[:-1][self.rows]
-        left = lens[self.rows] - at
-        self.valid = left >= LENGTH
-        self.samples = np.flatnonzero(np.isin(at % V, COVER) & (left >= DEPTH))
+        # where windows start, and where sample suffixes do
+        self.window_end = np.maximum(self.offs[1:] - LENGTH + 1, self.offs[:-1])
+        self.valid = self.covered(self.offs[:-1], self.window_end)
+        most = int(lens.max()) if len(lens) else 0
+        cover = np.flatnonzero(np.isin(np.arange(max(0, most - DEPTH + 1)) % V, COVER))
+        counts = np.searchsorted(cover, np.maximum(lens - DEPTH + 1, 0))
+        total = int(counts.sum())
+        within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.samples = np.repeat(self.offs[:-1], counts) + cover[within] if total else np.zeros(0, np.int64)
         # pieces: runs of window starts from a cut, with the bytes that their windows cover
-        starts = np.flatnonzero(self.valid & (self.cuts | (at == 0)))
-        window_end = np.maximum(self.offs[1:] - LENGTH + 1, self.offs[:-1])
-        ends = np.minimum(np.append(starts[1:], self.n), window_end[self.rows[starts]]) if len(starts) else starts
+        cut = (self.h16[: self.n] & np.uint64(63)) == 0
+        cut[self.offs[:-1][lens > 0]] = True
+        starts = np.flatnonzero(cut & self.valid)
+        ends = np.minimum(np.append(starts[1:], self.n), self.window_end[self.rows[starts]]) if len(starts) else starts
         self.piece_starts, self.piece_ends = starts, ends
         self.pieces = np.zeros(0, np.uint64)
         if len(starts):
             prefix = C.prefix_hash(padded[: self.n])
-            self.pieces = C.join2(C.span_hash(prefix, starts, ends + LENGTH - 1), self.window[starts])
+            self.pieces = C.join2(C.span_hash(prefix, starts, ends + LENGTH - 1), self.window(starts))
+
+    def covered(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which positions lie in one of the ranges, none of which holds another one with other ends."""
+        some = ends > starts
+        starts, ends = np.sort(starts[some]), np.sort(ends[some])
+        if not len(starts):
+            return np.zeros(self.n, bool)
+        apart = np.flatnonzero(starts[1:] > ends[:-1])
+        edges = np.empty(2 * len(apart) + 2, np.int64)
+        edges[0::2], edges[1::2] = starts[np.concatenate([[0], apart + 1])], ends[np.append(apart, len(ends) - 1)]
+        flags = np.zeros(len(edges) + 1, bool)
+        flags[1::2] = True
+        return np.repeat(flags, np.diff(np.concatenate([[0], edges, [max(self.n, edges[-1])]])))[: self.n]
+
+    def depth(self, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the ``DEPTH`` bytes from each position."""
+        return C.pair(self.h16[at], self.h16[at + (DEPTH - 16)])
+
+    def window(self, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the ``LENGTH`` bytes from each position."""
+        out = np.empty(len(at), np.uint64)
+        for k in range(0, len(at), _CHUNK):
+            i = at[k : k + _CHUNK]
+            first = C.pair(self.h16[i], self.h16[i + 16])
+            out[k : k + _CHUNK] = C.pair(first, C.pair(self.h16[i + (LENGTH - 32)], self.h16[i + (LENGTH - 16)]))
+        return out
 
     def keys(self, kind: int, keys: np.ndarray) -> Iterator[dict]:
         """The sorted distinct keys, a row for each bucket (their leading bits)."""
@@ -145,12 +176,11 @@ class Block:
             yield {"kind": kind, "bucket": int(b), "block": self.block, "keys": part.tobytes()}
 
     def first(self) -> Iterator[dict]:
-        yield from self.keys(SAMPLE, np.unique(self.depth[self.samples]))
-        yield from self.keys(PIECE, np.unique(self.pieces))
+        yield from self.keys(SAMPLE, C.distinct(self.depth(self.samples)))
+        yield from self.keys(PIECE, C.distinct(self.pieces))
 
     def told(self, kind: int, keys: np.ndarray, replies: dict) -> np.ndarray:
-        """The keys whose reply bit is set, sorted."""
-        keys = np.unique(keys)
+        """The reply bit of each of the block's sorted distinct keys."""
         edges = np.searchsorted(keys >> np.uint64(64 - self.shift), np.arange((1 << self.shift) + 1, dtype=np.uint64))
         flags = np.zeros(len(keys), bool)
         for b in np.flatnonzero(np.diff(edges)):
@@ -158,58 +188,42 @@ class Block:
             if bits is not None:
                 k = int(edges[b + 1] - edges[b])
                 flags[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=k).astype(bool)
-        return keys[flags]
-
-    @staticmethod
-    def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-        if not len(known) or not len(keys):
-            return np.zeros(len(keys), bool)
-        return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+        return flags
 
     def narrowed(self, replies: dict) -> tuple[np.ndarray, np.ndarray]:
         """Settled windows (in pieces that an earlier block has), and the others that may repeat."""
-        depth = self.depth[self.samples]
-        repeats = self.samples[self.among(depth, self.told(SAMPLE, depth, replies)) | C.repeated(depth)]
-        change = np.zeros(self.n + 1, np.int32)
-        np.add.at(change, np.maximum(repeats - V + 1, 0), 1)
-        np.add.at(change, repeats + 1, -1)
-        alive = (np.cumsum(change[:-1]) > 0) & self.valid
-        hit = self.among(self.pieces, self.told(PIECE, self.pieces, replies))
-        change = np.zeros(self.n + 1, np.int32)
-        np.add.at(change, self.piece_starts[hit], 1)
-        np.add.at(change, self.piece_ends[hit], -1)
-        settled = np.cumsum(change[:-1]) > 0
+        keys = self.depth(self.samples)
+        order, head, size = C.grouped(keys)
+        repeats = self.samples[order[np.repeat((size > 1) | self.told(SAMPLE, keys[order[head]], replies), size)]]
+        alive = self.covered(np.maximum(repeats - V + 1, 0), repeats + 1) & self.valid
+        order, head, size = C.grouped(self.pieces)
+        hit = order[np.repeat(self.told(PIECE, self.pieces[order[head]], replies), size)]
+        settled = self.covered(self.piece_starts[hit], self.piece_ends[hit])
         return settled, np.flatnonzero(alive & ~settled)
 
     def second(self, replies: dict) -> Iterator[dict]:
         _, open_ = self.narrowed(replies)
-        yield from self.keys(SUFFIX, np.unique(self.window[open_]))
+        yield from self.keys(SUFFIX, C.distinct(self.window(open_)))
 
     def removed(self, replies: dict) -> np.ndarray:
         """Which bytes go."""
         settled, open_ = self.narrowed(replies)
-        start = settled.copy()
-        keys = self.window[open_]
-        start[open_] = self.among(keys, self.told(SUFFIX, keys, replies))
-        # ties inside the block: any window, settled or not, of a smaller document
-        local = np.flatnonzero(settled)
-        every = np.union1d(local, open_)
-        order = every[np.argsort(self.window[every], kind="stable")]
-        key, doc = self.window[order], self.doc[self.rows[order]]
-        head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        if len(key):
-            least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]  # rows are in doc order, the sort is stable
-            start[order[doc > least]] = True
-        change = np.zeros(self.n + LENGTH + 1, np.int32)
-        at = np.flatnonzero(start)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + LENGTH, -1)
-        return np.cumsum(change[: self.n]) > 0
+        keys = self.window(open_)
+        order, head, size = C.grouped(keys)
+        again = open_[order[np.repeat(self.told(SUFFIX, keys[order[head]], replies), size)]]
+        # Ties inside the block, with any window of a smaller document, settled or not.
+        every = np.concatenate([np.flatnonzero(settled), open_])
+        order, head, size = C.grouped(self.window(every))
+        doc = self.doc[self.rows[every[order]]]
+        least = np.minimum.reduceat(doc, head) if len(head) else doc
+        later = every[order[doc > np.repeat(least, size)]]
+        starts = np.concatenate([np.flatnonzero(settled), again, later])
+        return self.covered(starts, starts + LENGTH)
 
     def result(self, replies: dict, with_text: bool) -> dict:
         gone = self.removed(replies)
         edge = np.flatnonzero(gone[1:] != gone[:-1]) + 1 if self.n > 1 else np.zeros(0, np.int64)
-        edge = np.unique(np.concatenate([edge, self.offs]))
+        edge = C.distinct(np.concatenate([edge, self.offs]))
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
         for k, i in enumerate(self.ids):
             a, b = int(self.offs[k]), int(self.offs[k + 1])
@@ -296,11 +310,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_t
 
     def settle(keys: DataFrame) -> DataFrame:
         out = C.stage(keys.groupBy("kind", "bucket").applyInArrow(_ties, _BITS), "ties")
-        gc.collect()
+        del keys
         C.release(spark)
         return out
 
-    gc.collect()
     C.release(spark)
     first = settle(blocks.mapInArrow(ask, _KEYS))
     second = settle(_with_replies(blocks, first, shift, lambda b, told: _rows(b.second(told)), _KEYS))
