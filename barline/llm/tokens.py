@@ -12,7 +12,7 @@ written under a name of the attempt and renamed when whole, so a lost executor
 leaves no half file; a reader verifies every checksum.
 
 Each distinct white-space-free piece of text is encoded by the tokenizer once a
-task (its normaliser and pre-tokeniser never look across a space, which ``fit``
+worker (its normaliser and pre-tokeniser never look across a space, which ``fit``
 checks on the tokenizer's own description; otherwise whole texts are encoded).
 
 Null text is empty: one record with the end id alone.  Null doc_ids come last.
@@ -39,7 +39,7 @@ END_ID = 2
 #: Bytes of text for each shard.
 SHARD = 64 << 20
 #: Distinct pieces a task remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 _MASK = 0xA282EAD8
 
 
@@ -83,43 +83,90 @@ def write_whole(uri: str, name: str, chunks: list[bytes]) -> None:
     store.move(own, f"{folder}/{name}")
 
 
+_END_MARKS = ".,;:!?"
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a file: one load, and one memory of pieces, for all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, remembering pieces between ASCII spaces and line ends."""
+    """Packed ids of texts by a tokenizer file, remembering the pieces between ASCII white space."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {"": np.zeros(0, np.int64)}
-        described = json.loads(self.tokenizer.to_str())
-        self.by_piece = self._local(described)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.known: dict[str, bytes] = {"": b""}
+        self.seen: dict[bytes, bytes] = {}
+        self.by_piece, self.lowers = self._local(json.loads(self.tokenizer.to_str()))
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     @staticmethod
-    def _local(described: dict) -> bool:
-        """Whether no step can see across a space: white space is dropped before the merges."""
-        normal = json.dumps(described.get("normalizer") or {})
+    def _local(described: dict) -> tuple[bool, bool]:
+        """Whether no step can see across a space (white space is dropped before the merges), and
+        whether letters are lower-cased and parted from punctuation."""
         split = json.dumps(described.get("pre_tokenizer") or {})
-        model = described["model"]
+        model, kinds = described["model"], _types(described.get("normalizer"))
         drops = '"invert": true' in split and '"behavior": "Removed"' in split and '"add_prefix_space": true' not in split
-        known = all(n in ("NFC", "NFD", "Lowercase", "Replace", "Sequence") for n in _types(described.get("normalizer")))
+        known = all(n in ("NFC", "NFD", "Lowercase", "Replace", "Sequence") for n in kinds)
         marks = all(not t["lstrip"] and not t["rstrip"] and " " not in t["content"] for t in described.get("added_tokens", []))
-        return bool(normal and drops and known and marks and model["type"] == "BPE" and not described.get("truncation"))
+        local = bool(drops and known and marks and model["type"] == "BPE" and not described.get("truncation"))
+        return local, "Lowercase" in kinds and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in split
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_piece:
-            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [np.array(e.ids, np.int64) for e in found]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": np.zeros(0, np.int64)}
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({p for ps in pieces for p in ps} - self.known.keys())
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
+    def _encode(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.uint16 if self.width == 2 else np.uint32)
-        known = self.known.__getitem__
-        return [np.concatenate(list(map(known, ps))) for ps in pieces]
+                self.known[p] = np.array(e.ids, self.kind).tobytes()
+
+    def _learn(self, fresh: set[str]) -> None:
+        if not self.lowers:
+            self._encode(list(fresh))
+            return
+        # A word with an end mark is the lower-cased word and the mark: two pieces to the tokenizer.
+        parts: dict[str, tuple[str, str]] = {}
+        for p in fresh:
+            word = p.rstrip(_END_MARKS)
+            if p.isascii() and word.isalnum():
+                parts[p] = (word.lower(), p[len(word) :])
+        need = {x for two in parts.values() for x in two} | (fresh - parts.keys())
+        self._encode(list(need.difference(self.known)))
+        for p, (word, mark) in parts.items():
+            self.known[p] = self.known[word] + self.known[mark]
+
+    def __call__(self, buf: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Packed ids of each text of a slice."""
+        data = buf.tobytes()
+        if not self.by_piece:
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if len(self.seen) > REMEMBERED:
+            self.known, self.seen = {"": b""}, {}
+        starts, ends, rows = C.word_spans(buf, offs)
+        order, head, size = C.grouped(C.span_hash(C.prefix_hash(buf), starts, ends))
+        one = order[head]
+        words = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        fresh = {w: w.decode("utf-8", "replace") for w in words if w not in self.seen}
+        self._learn(set(fresh.values()).difference(self.known))
+        for w, t in fresh.items():
+            self.seen[w] = self.known[t]
+        packed = [self.seen[w] for w in words]
+        flat = np.frombuffer(b"".join(packed), self.kind)
+        lens = np.array([len(p) for p in packed], np.int64) // self.kind.itemsize
+        first = np.cumsum(lens) - lens
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(np.arange(len(one)), size)
+        n = lens[which]
+        ids = flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        cut = np.cumsum(np.bincount(rows, weights=n, minlength=len(offs) - 1)).astype(np.int64)
+        raw = ids.tobytes()
+        w = self.kind.itemsize
+        return [raw[a * w : b * w] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
 
 
 def _types(node) -> list[str]:
@@ -141,17 +188,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
-        kind = np.dtype("<u2" if encoder.width == 2 else "<u4")
+        encode, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        width, last = encode.kind.itemsize, np.array([end_id], encode.kind).tobytes()
         frames: list[bytes] = []
         index: list[bytes] = []
         at = n_docs = n_tokens = 0
         for batch in batches:
-            for a, b, _, _ in C.slices(batch.column("text"), 1 << 20):
-                texts = [(t.as_py() or b"").decode("utf-8", "replace") for t in batch.column("text")[a:b]]
-                for i, ids in zip(batch.column("id")[a:b].to_pylist(), encoder(texts), strict=True):
-                    n_tokens += len(ids) + 1
-                    body = struct.pack("<qBB", i or 0, i is None, kind.itemsize) + ids.astype(kind).tobytes() + np.array([end_id], kind).tobytes()
+            for a, b, buf, offs in C.slices(batch.column("text")):
+                for i, ids in zip(batch.column("id")[a:b].to_pylist(), encode(buf, offs), strict=True):
+                    n_tokens += len(ids) // width + 1
+                    body = struct.pack("<qBB", i or 0, i is None, width) + ids + last
                     frames.append(frame(body))
                     index.append(struct.pack("<QQ", at, len(frames[-1])))
                     at += len(frames[-1])
