@@ -38,6 +38,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.expr("fp[0]")), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    found = decontam.leaks(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumns({c: F.round(c, 4) for c in ("cosine", "lcs_ratio", "answer_share")})
+
+
 def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import classifier
 
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
     "op5_classifier": op5_classifier,
     "op6_lm_scores": op6_lm_scores,
     "op7_token_records": op7_token_records,

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -153,8 +154,10 @@ def apply(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: flo
                 out |= {"llr": pa.array(llr), "base_failed": pa.array(failed), "kept": pa.array(~failed & (llr >= threshold))}
                 yield pa.RecordBatch.from_pydict(out)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__text")
-    return chosen.mapInArrow(score, f"{fields}, {SCHEMA}")
+    schema = T.StructType([f for f in chosen.schema if f.name != "__text"])
+    for name, kind in (x.split() for x in SCHEMA.split(", ")):
+        schema = schema.add(name, kind)
+    return chosen.mapInArrow(score, schema)
 
 
 def with_trust(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -167,3 +170,10 @@ def with_trust(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataF
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on ``docs`` with the labelled rows of quality 1 as the target, then judge all of ``docs``."""
     return apply(docs, fit(with_trust(docs, labels)))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, with their columns as they are."""
+    model = fit(with_trust(docs, labels))
+    whole = docs.select(F.struct("*").alias("__row"), "text")
+    return apply(whole, model, carry=("__row",)).filter("kept").select("__row.*")

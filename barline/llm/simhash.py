@@ -40,6 +40,8 @@ from . import common as C
 SEED = 42
 #: Fingerprints at one anchor beyond which the anchor is split.
 HOT = 4096
+#: The same for long fingerprints, where an anchor is one of many chances to meet.
+CROWD = 64
 _PARITY = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
 
 
@@ -140,13 +142,16 @@ def links(prints: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
     if not single:
         # Long fingerprints stay behind; only ids travel to the anchors.
         homes, replicas = anchors(prints)
-        pairs = (
-            homes.select("key", F.col("id").alias("h"))
-            .join(replicas.select("key", F.col("id").alias("r")), "key")
-            .filter("h != r")
-            .select(F.least("h", "r").alias("a"), F.greatest("h", "r").alias("b"))
-            .distinct()
-        )
+        homes, replicas = homes.select("key", F.col("id").alias("h")), replicas.select("key", F.col("id").alias("r"))
+        full = replicas.groupBy("key").count().filter(F.col("count") > CROWD).select("key", F.lit(True).alias("full"))
+        # A crowded anchor links those at home there to the smallest of them, others compare all.
+        apart = homes.join(full.hint("merge"), "key", "left")
+        few = apart.filter("full is null").join(replicas, "key").filter("h != r")
+        crowd = apart.filter("full")
+        centre = crowd.groupBy("key").agg(F.min("h").alias("r"))
+        many = crowd.join(centre, "key").filter("h != r")
+        both = few.select("h", "r").unionByName(many.select("h", "r"))
+        pairs = both.select(F.least("h", "r").alias("a"), F.greatest("h", "r").alias("b")).distinct()
         left = prints.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
         right = prints.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
         return pairs.join(left, "a").join(right, "b").filter(_distance("fa", "fb") <= max_bits).select("a", "b")
@@ -199,8 +204,18 @@ def groups(docs: DataFrame, shingle: int = 3, words64: int = 1, max_bits: int =
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int, words64: int, max_bits: int) -> DataFrame:
-    """The document with the smallest doc_id of each group (one row of it), columns as given."""
-    found = groups(docs, shingle, words64, max_bits).filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(found, "doc_id", "left_semi").select(*docs.columns)
+def bits_for(similarity: float, words64: int) -> int:
+    """Expected differing bits of fingerprints of two sets of this Jaccard similarity."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(64 * words64 * np.arccos(cosine) / np.pi)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, words64: int = 6, similarity: float = 0.8) -> DataFrame:
+    """Of each group of near duplicates one row, that of the smallest doc_id; columns as given.
+
+    Rows with a null id cannot be named, and stay.
+    """
+    found = groups(docs, shingle, words64, bits_for(similarity, words64))
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.filter("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
