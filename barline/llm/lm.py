@@ -208,9 +208,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             for k, ok in tables:  # counts in all other documents, at each word
                 rest = np.zeros(len(k), np.int64)
                 pair = C.join2(k[ok], rows[ok].astype(np.uint64))
-                order, _, size = C.grouped(pair)
+                by_pair, _, size = C.grouped(pair)
                 own = np.empty(len(pair), np.int64)
-                own[order] = np.repeat(size, size)
+                own[by_pair] = np.repeat(size, size)
                 sorted_key, head, size = C.grouped(k[ok])
                 known = np.empty(len(own), np.int64)
                 known[sorted_key] = np.repeat(total[np.searchsorted(keys, k[ok][sorted_key[head]])], size)
