@@ -27,14 +27,19 @@ def growth(g: Column) -> Column:
 
 
 def near_high(p: Column) -> Column:
-    """K1: 100 within 5 % of the high, 0 from 30 % below it, straight between."""
-    return F.when(p.isNotNull(), clamp(100 * (30 + p) / 25, 0.0, 100.0))
+    """K1: 100 within 5 % of the high, 0 from 30 % away, straight between."""
+    return F.when(p.isNotNull(), clamp(100 * (30 - F.abs(p)) / 25, 0.0, 100.0))
+
+
+def demand(rating: Column) -> Column:
+    """Accumulation letters A to E as 100 to 0; anything else is unknown."""
+    return F.when(rating == "A", 100.0).when(rating == "B", 75.0).when(rating == "C", 50.0).when(rating == "D", 25.0).when(rating == "E", 0.0)
 
 
 def supply_demand(rating: Column, float_pctl: Column) -> Column:
-    """K1: accumulation letter for three quarters, scarce float for one."""
-    value = F.when(rating == "A", 100.0).when(rating == "B", 75.0).when(rating == "C", 50.0).when(rating == "D", 25.0).when(rating == "E", 0.0)
-    return weighted({"a": (value, 0.75), "b": (100 - float_pctl, 0.25)})
+    """K1: the letter alone, or for three quarters with a scarce float for one; unknown without a letter."""
+    value = demand(rating)
+    return F.when(float_pctl.isNull(), value).otherwise(0.75 * value + 0.25 * (100 - float_pctl))
 
 
 def canslim(rows: DataFrame, market: Column | None = None) -> DataFrame:
@@ -61,25 +66,80 @@ def canslim(rows: DataFrame, market: Column | None = None) -> DataFrame:
 
 def verdict(s: Column) -> Column:
     """K47."""
-    return F.when(s >= 70, "strong").when(s >= 55, "solid").when(s >= 40, "mixed").when(s.isNotNull(), "weak")
+    return F.when(s >= 70, "Strong").when(s >= 55, "Solid").when(s >= 40, "Mixed").when(s.isNotNull(), "Weak")
+
+
+def _mean(*parts: Column) -> Column:
+    """Mean of the known ones."""
+    return weighted({str(k): (p, 1.0) for k, p in enumerate(parts)})
+
+
+def fraction(g: Column) -> Column:
+    """Growth above 3 in size is a percentage."""
+    return F.when(F.abs(g) > 3, g / 100).otherwise(g)
+
+
+def fundamental(rows: DataFrame) -> DataFrame:
+    """K7, K8: six sub-scores, their weighted mean over the known ones, a verdict."""
+    held = F.when(F.col("inst_pct_held") > 1.5, F.col("inst_pct_held") / 100).otherwise(F.col("inst_pct_held"))
+    c, s50, s200, pe, off, rsi = (F.col(n) for n in ("close", "sma50", "sma200", "pe_ratio", "pct_from_52w_high", "rsi14"))
+    known = (c != 0) & (s50 != 0) & (s200 != 0)
+    trend = F.when(known, F.when((c > s50) & (s50 > s200), 80.0).when(c > s200, 55.0).otherwise(25.0))
+    distance = F.abs(off)
+    subs = {
+        "growth": _mean(growth(fraction(F.col("eps_growth_q"))), growth(fraction(F.col("eps_growth_a")))),
+        "demand": demand(F.upper("ad_rating")),
+        "institutional": F.when(held < 0.15, 35.0).when(held > 0.92, 45.0).when(held.between(0.40, 0.85), 80.0).when(held.isNotNull(), 65.0),
+        "valuation": F.when(pe <= 0, 35.0).when(pe <= 20, 90.0).when(pe >= 60, 15.0).when(pe.isNotNull(), 90 - (pe - 20) / 40 * 75),
+        "trend": _mean(trend, F.when(off.isNotNull(), clamp(100 * (40 - distance) / 35, 0.0, 100.0)), F.when((rsi >= 80) | (rsi <= 20), 40.0).when(rsi.isNotNull(), 70.0)),
+        "rs": clamp(50 + 5 * _mean(F.col("rs_1m_pct"), F.col("rs_3m_pct")), 0.0, 100.0),
+    }
+    r = rows.withColumns({f"sub_{k}": v for k, v in subs.items()})
+    r = r.withColumn("fund_raw", weighted({k: (F.col(f"sub_{k}"), w) for k, w in FUNDAMENTAL.items()}))
+    return r.withColumns({"fund_score": F.bround("fund_raw").cast("int"), "fund_verdict": verdict(F.col("fund_raw"))})
 
 
-def impulse(r: DataFrame) -> Column:
-    """K9: additive setup weights in [0, 100]; exclusive tiers in order."""
-    c = {n: F.col(n) for n in ("flag", "gp_in_pocket", "gp_approaching", "pct_from_52w_high", "close", "high_20d", "rvol_10d", "ad_rating", "rs_1m_pct", "chg_pct", "exhaustion")}
+def impulse() -> Column:
+    """K9: additive setup weights in [0, 100]; alternatives are tried in order."""
+    c = {n: F.col(n) for n in ("flag", "gp_in_pocket", "gp_approaching", "pct_from_52w_high", "close", "high_20d", "rvol_10d", "ad_rating", "rs_1m_pct", "rs_3m_pct", "chg_pct", "ema20", "ema50", "exhaustion")}
     parts = [
         F.when(c["flag"] == "bull", 25).when(c["flag"] == "bear", -15),
-        F.when(c["gp_in_pocket"] == 1, 20).when(c["gp_approaching"] == 1, 10),
-        F.when(c["pct_from_52w_high"] >= -2, 20).when(c["close"] > c["high_20d"], 12),
-        F.when(c["rvol_10d"] >= 3, 20).when(c["rvol_10d"] >= 2, 12).when(c["rvol_10d"] >= 1.5, 8),
+        F.when(c["gp_in_pocket"] != 0, 20).when(c["gp_approaching"] != 0, 10),
+        F.when(c["pct_from_52w_high"] >= -2, 20).when(c["close"] >= c["high_20d"], 12),
+        F.when(c["rvol_10d"] >= 3, 20).when(c["rvol_10d"] >= 2, 12).when((c["rvol_10d"] >= 1.5) & (F.abs(c["chg_pct"]) < 3), 8),
         F.when(c["ad_rating"] == "A", 15).when(c["ad_rating"] == "B", 8).when(c["ad_rating"].isin("D", "E"), -10),
-        F.when(c["rs_1m_pct"] > 0, 10),
-        F.when(c["chg_pct"] > 0, 8),
+        F.when((c["rs_1m_pct"] > 0) & (c["rs_3m_pct"] > 0), 10),
+        F.when((c["close"] > c["ema20"]) & (c["ema20"] > c["ema50"]), 8),
         F.when(c["exhaustion"] == "buyer", -20),
     ]
     return clamp(sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0)).cast("double"), 0.0, 100.0)
 
 
+def hold(canslim_score: Column, fund: Column, rs_rating: Column) -> Column:
+    """Quality (letters, or ranks and trend without them), blended with fundamentals, times hard floors."""
+    c, s50, s200, volume, rs1 = (F.col(n) for n in ("close", "sma50", "sma200", "avg_vol_10d", "rs_1m_pct"))
+    trend = F.when((c > s50) & (s50 > s200), 15.0).when((c < s200) & s50.isNotNull(), -15.0).otherwise(0.0)
+    proxy = clamp(50 + F.coalesce((rs_rating - 50) * 0.4, F.lit(0.0)) + trend, 0.0, 100.0)
+    quality = F.coalesce(canslim_score, proxy)
+    blended = F.when(fund.isNotNull(), 0.45 * fund + 0.55 * quality).otherwise(quality)
+    floor = F.when(c < 5, 0.5).otherwise(1.0) * F.when(c * volume < 3e6, 0.6).otherwise(1.0) * F.when((c < s200) & (rs1 < 0), 0.7).otherwise(1.0)
+    return clamp(blended * floor, 0.0, 100.0)
+
+
+def picks(rows: DataFrame, canslim_score: Column, fund: Column, rs_rating: Column, regime: Column, near_event: Column) -> DataFrame:
+    """Impulse, hold, pick, stop and target at 2 and 4 true ranges, and whether it is tradeable."""
+    r = rows.withColumns({"impulse": impulse(), "hold": hold(canslim_score, fund, rs_rating)})
+    r = r.withColumn("pick", clamp(pick(F.col("impulse"), F.col("hold"), regime, near_event), 0.0, 100.0))
+    c, a = F.when(F.col("close") != 0, F.col("close")), F.when(F.col("atr14") != 0, F.col("atr14"))
+    return r.withColumns(
+        {
+            "stop": F.bround(c - 2 * a, 2),
+            "target": F.bround(c + 4 * a, 2),
+            "tradeable": (F.col("hold") >= 45) & (F.col("impulse") >= 40),
+        }
+    )
+
+
 def pick(imp: Column, hold: Column, regime: Column, near_event: Column) -> Column:
     """Geometric mean of impulse and hold, by regime, damped near events."""
     factor = F.when(regime == "HEALTHY", 1.0).when(regime == "DETERIORATING", 0.75).otherwise(0.9)
@@ -174,24 +234,29 @@ def posture(score: Column) -> Column:
 
 
 def combined(votes: DataFrame, stance_: str) -> DataFrame:
-    """Sum of direction x conviction x weight over the domains that answered."""
+    """Sum of direction x conviction x weight over the domains that answered, within +-100."""
     factor = F.lit(1.0)
     if stance_ == "CONCENTRATE":
         factor = F.when(F.col("domain") == "rrg", 0.5).when(F.col("domain").isin("rankings", "canslim"), 1.2).otherwise(1.0)
     part = F.col("direction") * F.col("conviction") / 100.0 * F.col("weight") * factor
-    out = votes.filter("ok").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("score"), F.count("*").alias("n_votes"))
+    out = votes.filter("ok").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("s"), F.count("*").alias("n_votes"))
+    out = out.select(F.bround(clamp(F.col("s"), -100.0, 100.0), 1).alias("score"), "n_votes")
     return out.withColumn("posture", posture(F.col("score")))
 
 
-def sector_scores(calls: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Signed conviction by the call's sign, plus rank about 50; agreement counts a quarter more.
+def sector_scores(calls: DataFrame, ranks: DataFrame, suppressed: bool = False) -> DataFrame:
+    """Conviction by the call's sign (halved in a concentration), plus the rank about 50.
 
-    The sign multiplies the signed conviction, so a ROTATE OUT with negative conviction adds.
+    The sign multiplies the signed conviction, so a ROTATE OUT with negative
+    conviction adds.  Where call and rank point the same way, a quarter more.
     """
-    sign = F.when(F.col("call").isin("ROTATE IN", "HOLD"), 1.0).when(F.col("call").isin("ROTATE OUT", "AVOID"), -1.0).otherwise(0.0)
-    j = calls.join(ranks.select("symbol", "rank"), "symbol", "left")
-    a, b = F.coalesce("conviction", F.lit(0.0)) * sign, F.coalesce((F.col("rank") - 50) * 0.6, F.lit(0.0))
-    return j.withColumn("score", (a + b) * F.when(F.signum(a) * F.signum(b) > 0, 1.25).otherwise(1.0))
+    good = F.col("call").isin("ROTATE IN", "HOLD") | F.col("call").contains("extended")
+    sign = F.when(good, 1).when(F.col("call").isin("ROTATE OUT", "AVOID"), -1).otherwise(0)
+    j = calls.join(ranks.select("symbol", "rank"), "symbol", "left").withColumn("__s", sign)
+    base = F.col("__s") * F.coalesce("conviction", F.lit(0.0)) * (0.5 if suppressed else 1.0)
+    agree = F.col("rank").isNotNull() & (F.col("__s") != 0) & ((F.col("__s") > 0) == (F.col("rank") >= 50))
+    total = base + F.coalesce((F.col("rank") - 50) * 0.6, F.lit(0.0))
+    return j.withColumns({"agree": agree, "score": F.bround(total * F.when(agree, 1.25).otherwise(1.0), 1)}).drop("__s")
 
 
 def call_of(score: Column) -> Column:
@@ -199,10 +264,15 @@ def call_of(score: Column) -> Column:
     return F.when(score >= 40, "ROTATE IN").when(score <= -30, "ROTATE OUT").when(score > 0, "HOLD").otherwise("WATCH")
 
 
+#: Keywords of event importance.
+HIGH_WORDS = ("employment situation", "nonfarm", "consumer price", "cpi", "gross domestic product", "personal income and outlays", "pce", "fomc", "federal funds", "pce price")
+MED_WORDS = ("producer price", "ppi", "retail sales", "ism", "jobless", "initial claims", "unemployment insurance", "housing starts", "durable goods", "consumer sentiment", "consumer confidence", "job openings", "jolts", "industrial production")
+
+
 def importance(name: Column) -> Column:
-    """By keywords anywhere in the text, high before medium."""
-    x = F.lower(name)
-    return F.when(x.rlike("fomc|cpi|nonfarm|payroll|rate decision|gdp|pce"), "high").when(x.rlike("ppi|retail|claims|ism|sentiment|housing|minutes"), "med").otherwise("low")
+    """By keywords anywhere in the lower-cased text, high before medium."""
+    x = F.lower(F.coalesce(name, F.lit("")))
+    return F.when(x.rlike("|".join(HIGH_WORDS)), "high").when(x.rlike("|".join(MED_WORDS)), "med").otherwise("low")
 
 
 def event_risk(events: DataFrame, today: str, horizon: int = 10, alert: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "screener")
+MODULES = ("windows", "screener", "models")
 
 
 def load() -> tuple[dict, dict]:
