@@ -18,11 +18,12 @@ THRUST_SPAN, THRUST_LOW, THRUST_HIGH, THRUST_BARS = 10, 0.40, 0.615, 10
 SLOPE, BROAD, NARROW = 5, 60.0, 50.0
 LOOKBACK, GAP, ACTIVE = 63, 10, 21
 
-_DAYS = Window.orderBy("date")
+def _days():
+    return Window.orderBy("date")
 
 
 def _over_days(n: int):
-    return _DAYS.rowsBetween(-(n - 1), 0)
+    return _days().rowsBetween(-(n - 1), 0)
 
 
 def aggregates(bars: DataFrame, extreme: int = EXTREME) -> DataFrame:
@@ -105,7 +106,7 @@ def derived(days: DataFrame) -> DataFrame:
         }
     )
     d = averages(d, [("__f", "rana", span(FAST), 0), ("__s", "rana", span(SLOW), 0), ("zbt_ema", "__share", span(THRUST_SPAN), 0)], "__all")
-    so_far = _DAYS.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _days().rowsBetween(Window.unboundedPreceding, 0)
     highs = F.col("new_highs") + F.col("new_lows")
     return d.withColumns(
         {
@@ -124,8 +125,8 @@ def derived(days: DataFrame) -> DataFrame:
 
 def thrusts(days: DataFrame) -> DataFrame:
     """Dates on which the thrust average crosses the upper bound after a low within the bars before."""
-    x, before = F.col("zbt_ema"), F.lag("zbt_ema").over(_DAYS)
-    low = F.min("zbt_ema").over(_DAYS.rowsBetween(-THRUST_BARS, -1))
+    x, before = F.col("zbt_ema"), F.lag("zbt_ema").over(_days())
+    low = F.min("zbt_ema").over(_days().rowsBetween(-THRUST_BARS, -1))
     marked = days.withColumn("__e", (x >= THRUST_HIGH) & (before < THRUST_HIGH) & (low <= THRUST_LOW))
     return marked.filter("__e").drop("__e")
 
@@ -136,7 +137,7 @@ def divergences(days: DataFrame, index: str, measures: list[str], lookback: int
     The extremes and the comparison are windows; only the rule that events keep
     ``gap`` rows apart is sequential, over one measure's events.
     """
-    rows = days.filter(F.col(index).isNotNull()).withColumn("__i", F.row_number().over(_DAYS))
+    rows = days.filter(F.col(index).isNotNull()).withColumn("__i", F.row_number().over(_days()))
     w = _over_days(lookback)
     rows = rows.withColumns(
         {"__hi": guarded(F.max(index), index, w, lookback) <= F.col(index), "__lo": guarded(F.min(index), index, w, lookback) >= F.col(index)}
@@ -144,7 +145,7 @@ def divergences(days: DataFrame, index: str, measures: list[str], lookback: int
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("m")) for m in measures]))
     found = None
     for kind, mark, sign in (("bearish", "__hi", 1), ("bullish", "__lo", -1)):
-        prior = F.last(F.when(F.col(mark), F.struct("__i", F.col(index).alias("x"), *measures)), True).over(_DAYS.rowsBetween(Window.unboundedPreceding, -gap))
+        prior = F.last(F.when(F.col(mark), F.struct("__i", F.col(index).alias("x"), *measures)), True).over(_days().rowsBetween(Window.unboundedPreceding, -gap))
         own = rows.withColumn("__p", prior).filter(mark).filter("__p is not null").select("date", "__i", F.col(index).alias("x"), "__p", cells.alias("c"))
         before = F.coalesce(*[F.when(F.col("c.measure") == m, F.col(f"__p.{m}").cast("double")) for m in measures])
         part = own.withColumn("b", before).filter((sign * (F.col("x") - F.col("__p.x")) > 0) & (sign * (F.col("c.m") - F.col("b")) < 0))
@@ -171,7 +172,7 @@ def active(events: DataFrame, days: DataFrame, n: int = ACTIVE) -> DataFrame:
 def regime_labels(days: DataFrame, summation: str = "summation", pct: str = "pct_above_200") -> DataFrame:
     """HEALTHY, NEUTRAL or DETERIORATING for each date, from sign, slope and breadth."""
     s = F.col(summation)
-    slope = F.coalesce(s - F.lag(summation, SLOPE).over(_DAYS), F.lit(0.0))  # W17
+    slope = F.coalesce(s - F.lag(summation, SLOPE).over(_days()), F.lit(0.0))  # W17
     score = (
         F.when(s > 0, 1).otherwise(-1)
         + F.when(slope > 0, 1).otherwise(-1)
