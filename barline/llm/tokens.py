@@ -83,6 +83,8 @@ def write_whole(uri: str, name: str, chunks: list[bytes]) -> None:
     store.move(own, f"{folder}/{name}")
 
 
+#: Words in one text of the tokenizer's.
+_LINE = 256
 _END_MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
@@ -98,12 +100,18 @@ class Encoder:
     """Packed ids of texts by a tokenizer file, remembering the pieces between ASCII white space."""
 
     def __init__(self, path: str) -> None:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.seen: dict[bytes, bytes] = {}
         self.by_piece, self.lowers = self._local(json.loads(self.tokenizer.to_str()))
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(max([*ends, self.tokenizer.get_vocab_size()]) + 1, bool)
+        self.ends[ends] = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     @staticmethod
@@ -119,6 +127,18 @@ class Encoder:
         return local, "Lowercase" in kinds and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in split
 
     def _encode(self, pieces: list[str]) -> None:
+        """Learns pieces; words of letters go many to a text and are told apart by their end tokens."""
+        if self.lowers:
+            plain = [p for p in pieces if p.isalpha()]
+            lines = [plain[k : k + _LINE] for k in range(0, len(plain), _LINE)]
+            w = self.kind.itemsize
+            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                cut = ((np.flatnonzero(self.ends[ids]) + 1) * w).tolist()
+                if len(cut) == len(line):
+                    raw = ids.tobytes()
+                    self.known.update(zip(line, [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
+            pieces = [p for p in pieces if p not in self.known]
         for k in range(0, len(pieces), 20_000):
             part = pieces[k : k + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -132,7 +152,7 @@ class Encoder:
         parts: dict[str, tuple[str, str]] = {}
         for p in fresh:
             word = p.rstrip(_END_MARKS)
-            if p.isascii() and word.isalnum():
+            if word.isalnum() and (p.isascii() or max(word) < "\u0130"):  # beyond, lower-casing may depend on the place
                 parts[p] = (word.lower(), p[len(word) :])
         need = {x for two in parts.values() for x in two} | (fresh - parts.keys())
         self._encode(list(need.difference(self.known)))
