@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "screener", "models")
+MODULES = ("windows", "screener", "models", "feeds")
 
 
 def load() -> tuple[dict, dict]:

@@ -190,3 +190,19 @@ def test_sources(spark):
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_readers(spark):
+    from barline.sources import adapters as A
+
+    text = "### Tech\nNYSE:BRK.B, aapl,\n'msft', AAPL, 12bad"
+    files = spark.createDataFrame([("a", text), ("b", "Name,Symbol\nX,IBM\nY,SPY\n")], "file string, text string")
+    got = {f: [r["symbol"] for r in A.watchlist(files).filter(F.col("file") == f).orderBy("position").collect()] for f in "ab"}
+    assert got == {"a": ["BRK-B", "AAPL", "MSFT"], "b": ["IBM", "SPY"]}
+    raw = '{"underlyingPrice": 100.0, "callExpDateMap": {"e": {"105": [{"symbol": "o", "putCall": "CALL", "strikePrice": 105.0, "expirationDate": "2024-03-15T20:00", "bid": 2.0, "delta": -999.0, "totalVolume": 7}]}}}'
+    c = A.contracts(spark.createDataFrame([("U", "t", raw)], "underlying string, ts string, raw string")).first()
+    assert (c["strike"], str(c["expiry"]), c["delta"], c["session_volume"], c["open_interest"], c["spot"]) == (105.0, "2024-03-15", None, 7, 0, 100.0)
+    s = spark.createDataFrame([("Health Care",), ("XLE",), ("Other",)], "s string").select(A.sector_etf(F.col("s")).alias("e"))
+    assert [r["e"] for r in s.collect()] == ["XLV", "XLE", None]
+    o = A.observations(spark.createDataFrame([("a", "2024-01-01", "1.5"), ("a", "2024-01-02", ".")], "series_id string, date string, value string"))
+    assert [r["value"] for r in o.collect()] == [1.5]
