@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, over_time, ratio
 from ..functions.recursive import averages, span
-from .series import aligned, scaled
+from .series import aligned, as_of, scaled
+from .wave import NONE as NO_WAVE
+from .wave import signal
 
 #: Fast, slow, difference, smoothing, trend, ratio and momentum deviations of each lens.
 LENSES = {"week": (10, 40, 5, 3, 12, 52, 26), "day": (50, 140, 15, 3, 60, 140, 60)}
@@ -61,21 +63,70 @@ def headings(points: DataFrame, tail: int = 6) -> DataFrame:
     ).drop("__step", "__at")
 
 
-def call(trend: Column, kind: Column, extended: Column, conviction: Column, abc: Column, zigzag: Column, enter: float = 40, watch: float = 20, warn: float = 40) -> Column:
-    """The rotation call from the wave state and the conviction, in order of precedence.
+#: Weights of the conviction's parts and of the time frames, and the call thresholds.
+TIMEFRAMES = {"1mo": 1.0, "1wk": 0.8, "1d": 0.5, "1h": 0.25}
+W_WAVE, W_DIVERGENCE, W_ZONE, W_CLEAN, W_EXHAUSTION, W_PROFILE, W_ACCUMULATION, W_FLAG_EDGE, W_OFF = 60.0, 18.0, 15.0, 10.0, 14.0, 12.0, 13.0, 150.0, 30.0
+FLAG_DEFAULT, FLAG_LEAST = {"bull": 0.58, "bear": 0.50}, 8
+LOW, HIGH, ENTER, WATCH, WARN = -70.0, 99.0, 40.0, 20.0, 40.0
 
-    ``trend``: up, down or none; ``kind``: corrective or impulse; ``extended``: wave-3 or wave-5; ``abc``: A, B, C or NULL.
+
+def _known(rows: DataFrame, name: str, kind: str = "double") -> Column:
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+
+def conviction(rows: DataFrame) -> DataFrame:
+    """Signed confluence of wave, divergences, flags, volume and regime: ``conviction`` and ``factors``.
+
+    Needs the wave columns; other inputs count where they are there: ``mtf_1mo, mtf_1d,
+    mtf_1h, flag_win_bull, flag_n_bull, flag_win_bear, flag_n_bear, regime, vol_exh,
+    vp_strength, ac_strength, rotation``.
     """
-    correction = (
-        F.when(abc == "A", "ROTATE OUT")
-        .when(abc == "B", F.when(zigzag, "ROTATE OUT").otherwise("WATCH"))
-        .when(abc == "C", F.when(conviction >= enter, "ROTATE IN").when(conviction >= watch, "WATCH").otherwise("AVOID"))
-        .otherwise("WATCH")
-    )
-    warning = F.when(extended == "wave-5", "⚠️ w5 extended").otherwise("⚠️ w3 extended")
-    up = F.when(kind == "corrective", F.when(conviction >= enter, "ROTATE IN").otherwise("WATCH")).when(kind == "impulse", F.when(conviction <= -warn, warning).otherwise("HOLD")).otherwise("WATCH")
-    down = F.when(kind == "corrective", F.when(conviction <= -warn, "ROTATE OUT").otherwise("AVOID")).when(kind == "impulse", "AVOID").otherwise("WATCH")
-    return F.when(abc.isNotNull(), correction).when(trend == "up", up).when(trend == "down", down).otherwise("WATCH")
+    week = TIMEFRAMES["1wk"]
+    get = lambda n, k="double": _known(rows, n, k)
+    parts: list[tuple[str, Column]] = [("wk wave", W_WAVE * week * signal())]
+    parts += [(f"{tf} wave", W_WAVE * TIMEFRAMES[tf] * get(f"mtf_{tf}")) for tf in ("1mo", "1d", "1h")]
+    for name in ("div_rs", "div_px"):
+        d = get(name, "string")
+        parts.append((name, F.when(d == "bull", W_DIVERGENCE * week).when(d == "bear", -W_DIVERGENCE * week)))
+    regime = get("regime", "string")
+    for kind, sign, against in (("bull", 1, "DETERIORATING"), ("bear", -1, "HEALTHY")):
+        own = F.when(get(f"flag_n_{kind}") >= FLAG_LEAST, get(f"flag_win_{kind}"))
+        edge = F.greatest(F.coalesce(own, F.lit(FLAG_DEFAULT[kind])) - 0.5, F.lit(0.0))
+        opposed = F.coalesce(regime == against, F.lit(False))
+        parts.append((f"{kind} flag", F.when((F.col("flag") * sign > 0) & ~opposed, sign * W_FLAG_EDGE * week * edge)))
+    climax = get("vol_exh", "string")
+    parts.append(("exhaustion", F.when(climax == "seller", W_EXHAUSTION * week).when(climax == "buyer", -W_EXHAUSTION * week)))
+    parts += [("profile", W_PROFILE * week * get("vp_strength")), ("accumulation", W_ACCUMULATION * week * get("ac_strength"))]
+    zone = F.col("w4_zone")
+    at_zone = (F.col("wave_label") == "wave-C") & (F.col("cur_rs") <= F.col("c_tgt_hi")) & (F.abs(zone) > 1e-9) & (F.abs(F.col("cur_rs") - zone) <= 0.10 * F.abs(zone))
+    parts.append(("prior w4 zone", F.when(at_zone, W_ZONE)))
+    parts = [(n, F.coalesce(c, F.lit(0.0))) for n, c in parts]
+    r = rows.withColumn("__lean", sum((c for _, c in parts), F.lit(0.0)))
+    clear = F.col("wv_trend").isin("up", "down") & (F.col("wave_label") != NO_WAVE) & (F.abs("__lean") > 1e-9)
+    clean = F.when(clear, F.signum("__lean") * W_CLEAN).otherwise(0.0)  # by the lean before the market gate
+    gate = F.when(get("rotation", "string") == "off", -W_OFF).otherwise(0.0)
+    every = [*parts, ("clean count", clean), ("rotation off", gate)]
+    listed = F.filter(F.array(*[F.struct(F.lit(n).alias("label"), F.bround(c, 1).alias("amount")) for n, c in every]), lambda x: F.abs(x["amount"]) > 1e-9)
+    total = clamp(F.col("__lean") + clean + gate, LOW, HIGH)
+    return r.withColumns({"factors": listed, "conviction": F.bround(total, 1)}).drop("__lean")
+
+
+def call(enter: float = ENTER, watch: float = WATCH, warn: float = WARN) -> Column:
+    """The rotation call from the wave columns and the conviction, in order of precedence."""
+    trend, leg, wave, score = F.col("wv_trend"), F.col("wv_leg"), F.col("wave_label"), F.col("conviction")
+    fallen = F.when(score >= enter, "ROTATE IN").when(score >= watch, "WATCH").otherwise("AVOID")
+    correction = F.when(wave == "wave-A", "ROTATE OUT").when(wave == "wave-B", F.when(F.col("abc_type") == "zigzag", "ROTATE OUT").otherwise("WATCH")).when(wave == "wave-C", fallen).otherwise("WATCH")
+    warning = F.when(wave == "wave-5", "⚠️ w5 extended").otherwise("⚠️ w3 extended")
+    up = F.when(leg == "corrective", F.when(score >= enter, "ROTATE IN").otherwise("WATCH")).when(leg == "impulse", F.when(score <= -warn, warning).otherwise("HOLD")).otherwise("WATCH")
+    down = F.when(leg == "corrective", F.when(score <= -warn, "ROTATE OUT").otherwise("AVOID")).when(leg == "impulse", "AVOID").otherwise("WATCH")
+    unclear = trend.isin("none", "ambiguous") | (wave == NO_WAVE)
+    return F.when(leg == "abc", correction).when(unclear, "WATCH").when(trend == "up", up).otherwise(down)
+
+
+def timeline(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Conviction and call on every bar: ``symbol, date, conviction, call``; ``labels(date, rotation)`` as of each date."""
+    r = as_of(rows, labels, "rotation") if labels is not None else rows
+    return conviction(r).withColumn("call", call())
 
 
 def action(call_: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "screener", "models", "feeds")
+MODULES = ("windows", "screener", "models", "feeds", "waves")
 
 
 def load() -> tuple[dict, dict]:

@@ -206,3 +206,32 @@ def test_readers(spark):
     assert [r["e"] for r in s.collect()] == ["XLV", "XLE", None]
     o = A.observations(spark.createDataFrame([("a", "2024-01-01", "1.5"), ("a", "2024-01-02", ".")], "series_id string, date string, value string"))
     assert [r["value"] for r in o.collect()] == [1.5]
+
+
+def test_feeds(spark):
+    from barline.operators import books, feeds
+
+    i = spark.createDataFrame([(1, 0, "neutral"), (1, 1, "neutral"), (1, 2, "negative"), (2, 0, "positive"), (2, 1, "negative"), (3, 0, "neutral")], "article_id int, pos int, label string")
+    assert {r["article_id"]: r["sentiment"] for r in feeds.sentiment(i).collect()} == {1: "negative", 2: "positive", 3: "neutral"}
+    before = spark.createDataFrame([(1, "A", DAY), (1, "B", DAY)], "screen_id long, symbol string, first_matched date")
+    now = spark.createDataFrame([(1, "B"), (1, "C")], "screen_id long, symbol string")
+    got = {r["symbol"]: str(r["first_matched"]) for r in feeds.screen_memory(before, now, "2024-02-01").collect()}
+    assert got == {"B": "2024-01-01", "C": "2024-02-01"}
+    days = [DAY + dt.timedelta(days=k) for k in range(2)]
+    t = spark.createDataFrame([("b", d, s, w, None) for d in days for s, w in (("A", 0.5), ("S", -0.5))], "book string, date date, symbol string, weight double, stop double")
+    c = spark.createDataFrame([("A", days[0], 100.0), ("A", days[1], 110.0), ("S", days[0], 400.0), ("S", days[1], 400.0)], "symbol string, date date, close double")
+    one, two = books.run_books(t, c).orderBy("date").collect()
+    assert one["equity"] == pytest.approx(100_000 - 50) and one["cost"] == pytest.approx(50)
+    assert two["equity"] == pytest.approx(99_950 + 5_000 - two["cost"])
+    state = books.book_state(books.run_books(t, c), c.filter("symbol = 'S'")).first()
+    assert state["excess"] == pytest.approx(two["equity"] / 100_000 - 1)
+
+
+def test_conviction_and_call(spark):
+    from barline.operators import rotation
+
+    base = {"symbol": "A", "date": DAY, "cur_rs": 100.0, "wv_trend": "up", "wv_leg": "corrective", "wave_label": "wave-2", "abc_type": "—", "div_rs": "bull", "div_px": "none", "gp_q": 1.0, "ext_q": 0.0, "flag": 0.0, "c_tgt_hi": None, "w4_zone": None, "rotation": "on"}
+    cases = [base, base | {"symbol": "B", "rotation": "off"}, base | {"symbol": "C", "wv_leg": "impulse", "wave_label": "wave-5", "gp_q": 0.0, "ext_q": 1.0, "div_rs": "bear"}, base | {"symbol": "D", "wv_leg": "abc", "wave_label": "wave-A", "div_rs": "none"}]
+    schema = "symbol string, date date, cur_rs double, wv_trend string, wv_leg string, wave_label string, abc_type string, div_rs string, div_px string, gp_q double, ext_q double, flag double, c_tgt_hi double, w4_zone double, rotation string"
+    got = {r["symbol"]: (r["conviction"], r["call"]) for r in rotation.timeline(spark.createDataFrame([tuple(c.values()) for c in cases], schema)).collect()}
+    assert got == {"A": (72.4, "ROTATE IN"), "B": (42.4, "ROTATE IN"), "C": (-70.0, "⚠️ w5 extended"), "D": (0.0, "ROTATE OUT")}
