@@ -3,7 +3,7 @@
 Fingerprints.  A document's words (A-Z lower-cased) give n-word shingles, each
 shingle's XXH64 votes on 64 bits, and a fingerprint bit is 1 if over half the
 hashes have it set.  With ``words64 > 1`` further independent fingerprints come
-from remixed hashes; together they are one long fingerprint.
+from remixed hashes.
 
 Anchors.  Each fingerprint is cut into 32-bit segments.  The anchors of a
 segment are the codewords of the perfect [31, 26] Hamming code (covering radius
@@ -11,8 +11,8 @@ segment are the codewords of the perfect [31, 26] Hamming code (covering radius
 radius 1 and is replicated to every anchor within radius 1 + 1 (at most 16).
 Two fingerprints whose segments differ in at most one bit therefore meet, at
 the home anchor of either.  With one fingerprint (two segments) and a limit of
-2 bits (or 3) one segment always differs in at most 1 bit, so no link is lost.  With
-longer fingerprints the meeting is likely, not sure; each segment is a chance.
+2 bits (or 3) one segment always differs in at most 1 bit, so no link is lost.
+Longer fingerprints would lose links and are not linked.
 
 Only distinct fingerprints are compared, so copies never multiply.  An anchor
 that holds more than ``HOT`` fingerprints is split by the other segment: within
@@ -20,6 +20,16 @@ that holds more than ``HOT`` fingerprints is split by the other segment: within
 the result is still exact.  Components come from alternating large-star and
 small-star steps, each written to the shared folder.
 
+Near duplicates (``keep_one``) do not use fingerprints but the sets of shingle
+hashes themselves.  Shingles have one order for all documents: by how often
+their bucket of ``SKETCH`` occurs, then by hash.  Two sets whose Jaccard
+similarity is at least p/q share one of the first n - ceil(n p/q) + 1 shingles of
+each (prefix filter), so no pair is lost; where they first meet, what is left
+bounds their overlap, and the exact similarity of the whole sets decides.  Only
+components are wanted, so each shingle first compares its documents with one of
+them, a different one each time; then all pairs there that are not yet in one
+component are compared.
+
 Null and empty texts have fingerprint zero and are linked like any other; a
 null doc_id keeps its row and takes its group's smallest id; repeated rows give
 repeated result rows; an empty table gives an empty result.
@@ -28,11 +38,12 @@ repeated result rows; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -40,8 +51,10 @@ from . import common as C
 SEED = 42
 #: Fingerprints at one anchor beyond which the anchor is split.
 HOT = 4096
-#: The same for long fingerprints, where an anchor is one of many chances to meet.
-CROWD = 64
+#: Buckets in which shingles are counted (a fixed size), and the pieces in which the counts are summed.
+SKETCH, _PIECES = 1 << 20, 64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _PARITY = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
 
 
@@ -116,10 +129,6 @@ def anchors(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return homes, replicas
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, z) -> bit_count(x ^ z)), 0, (s, x) -> s + x)")
-
-
 def _split(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows of hot anchors once for each third of the other segment, the others as they are."""
     other = "if(seg = 0, fp[0] & 4294967295L, shiftrightunsigned(fp[0], 32))"
@@ -138,23 +147,8 @@ def links(prints: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
     words64 = prints.select(F.size("fp").alias("n")).limit(1).collect()
     if not words64:
         return prints.sparkSession.createDataFrame([], "a long, b long")
-    single = words64[0]["n"] == 1
-    if not single:
-        # Long fingerprints stay behind; only ids travel to the anchors.
-        homes, replicas = anchors(prints)
-        homes, replicas = homes.select("key", F.col("id").alias("h")), replicas.select("key", F.col("id").alias("r"))
-        full = replicas.groupBy("key").count().filter(F.col("count") > CROWD).select("key", F.lit(True).alias("full"))
-        # A crowded anchor links those at home there to the smallest of them, others compare all.
-        apart = homes.join(full.hint("merge"), "key", "left")
-        few = apart.filter("full is null").join(replicas, "key").filter("h != r")
-        crowd = apart.filter("full")
-        centre = crowd.groupBy("key").agg(F.min("h").alias("r"))
-        many = crowd.join(centre, "key").filter("h != r")
-        both = few.select("h", "r").unionByName(many.select("h", "r"))
-        pairs = both.select(F.least("h", "r").alias("a"), F.greatest("h", "r").alias("b")).distinct()
-        left = prints.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
-        right = prints.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-        return pairs.join(left, "a").join(right, "b").filter(_distance("fa", "fb") <= max_bits).select("a", "b")
+    if words64[0]["n"] != 1:
+        raise ValueError("only one 64-bit fingerprint is covered exactly")
     if max_bits > 3:
         raise ValueError("one 64-bit fingerprint is covered exactly up to 3 bits")
     homes, replicas = anchors(prints)
@@ -204,18 +198,145 @@ def groups(docs: DataFrame, shingle: int = 3, words64: int = 1, max_bits: int =
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def bits_for(similarity: float, words64: int) -> int:
-    """Expected differing bits of fingerprints of two sets of this Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * words64 * np.arccos(cosine) / np.pi)
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each row; under ``shingle`` words the whole text is the only one."""
+    plain = _LOWER[buf]
+    starts, ends, rows = C.word_spans(plain, offs)
+    h = C.span_hash(C.prefix_hash(plain), starts, ends)
+    grams, _ = C.ngrams(h, rows, shingle)
+    cuts = np.searchsorted(rows, np.arange(len(offs)))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a >= shingle:
+            out.append(C.distinct(grams[a : b - shingle + 1]))
+        else:
+            out.append(np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), SEED)], np.uint64))
+    return out
+
+
+def _signature(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _longs(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, words64: int = 6, similarity: float = 0.8) -> DataFrame:
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = np.zeros(SKETCH // _PIECES, np.int64)
+    for v in table.column("v"):
+        total += np.frombuffer(v.as_py(), np.uint32)
+    return pa.table({"k": table.column("k")[:1].cast(pa.int32()), "v": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+
+
+def sketch(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How often the shingles of each bucket occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for _, _, buf, offs in C.slices(batch.column("text")):
+                total += np.bincount(_bucket(np.concatenate(shingle_sets(buf, offs, shingle))), minlength=SKETCH)
+        parts = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(_PIECES, -1)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(_PIECES), pa.int32()), "v": [p.tobytes() for p in parts]})
+
+    found = texts.select("text").mapInArrow(run, "k int, v binary").groupBy("k").applyInArrow(_added, "k int, v binary").collect()
+    out = np.zeros((_PIECES, SKETCH // _PIECES), np.uint32)
+    for r in found:
+        out[r["k"]] = np.frombuffer(bytes(r["v"]), np.uint32)
+    return out.reshape(-1)
+
+
+def prefixes(texts: DataFrame, counts: np.ndarray, shingle: int, p: int, q: int) -> DataFrame:
+    """``id``, ``s`` (the set's signature), ``n`` (its size) and the first shingles ``keys`` in the common order."""
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for batch in batches:
+            for a, b, buf, offs in C.slices(batch.column("text")):
+                sets = shingle_sets(buf, offs, shingle)
+                first = [x[np.argsort(often[_bucket(x)], kind="stable")[: len(x) + 1 + -len(x) * p // q]] for x in sets]
+                columns = [batch.column("id")[a:b], pa.array([_signature(x) for x in sets]), pa.array([len(x) for x in sets]), _longs(first)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "keys"])
+
+    return texts.mapInArrow(run, "id long, s long, n long, keys array<long>")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
+    """The pairs ``a, b`` of signatures whose sets have a Jaccard similarity of at least p/q."""
+    asked = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    wanted = C.stage(reps.join(asked, "s", "left_semi").select(F.col("id").alias("__id")).distinct(), "asked")
+    chosen = texts.join(C.small(wanted, 16, wanted.count()), F.col("id") == F.col("__id"), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offs in C.slices(batch.column("text")):
+                sets = shingle_sets(buf, offs, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in sets]), _longs(sets)], ["s", "hashes"])
+
+    sets = C.stage(chosen.select("text").mapInArrow(run, "s long, hashes array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("hashes").alias("ha")), "a").join(
+        sets.select(F.col("s").alias("b"), F.col("hashes").alias("hb")), "b"
+    )
+    shared = F.size(F.array_intersect("ha", "hb")) * F.lit(p + q)
+    return C.stage(both.filter(shared >= F.lit(p) * (F.size("ha") + F.size("hb"))).select("a", "b"), "similar")
+
+
+def near(docs: DataFrame, shingle: int, similarity: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a non-null id and text: ``doc_id`` and ``component_id``, the smallest id that a chain of
+    similarities of at least ``similarity`` leads to."""
+    limit = Fraction(str(similarity))
+    p, q = limit.numerator, limit.denominator
+    texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    found = C.stage(prefixes(texts, sketch(texts, shingle), shingle, p, q), "prefixes")
+    reps = C.stage(found.groupBy("s").agg(F.min("id").alias("id")), "reps")
+    # one row a set: copies never multiply
+    one = found.join(reps, ["s", "id"], "left_semi").dropDuplicates(["s"])
+    rows = one.select("s", "n", F.posexplode("keys").alias("pos", "key")).select("key", "s", F.struct("n", "pos").alias("at"))
+    at_key = Window.partitionBy("key")
+    hub = F.min(F.struct(F.xxhash64("s", "key").alias("r"), "s", "at")).over(at_key)
+    shared = rows.select("*", F.count("*").over(at_key).alias("m"), hub.alias("hub")).filter("m > 1")
+    shared = C.stage(shared.select("key", "s", "at", "m", F.col("hub.s").alias("h"), F.col("hub.at").alias("h_at")), "shared")
+
+    def enough(x: str, y: str) -> Column:
+        """Where two sets first meet, the rest of the smaller one is the most that they can share."""
+        return F.expr(f"{p + q} * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {p} * ({x}.n + {y}.n)")
+
+    stars = shared.filter((F.col("s") != F.col("h")) & enough("at", "h_at"))
+    stars = C.stage(stars.select(F.least("s", "h").alias("a"), F.greatest("s", "h").alias("b")).distinct(), "stars")
+    edges = similar(stars, texts, reps, shingle, p, q)
+    root = components(edges)
+    named = shared.join(root, F.col("s") == F.col("node"), "left").select("key", "s", "at", "m", F.coalesce("root", "s").alias("c"))
+    named = C.stage(named, "named")
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key")
+    open_keys = named.join(mixed, "key", "left_semi")
+    # A crowded shingle is cut into blocks of one side, each compared with all of the other.
+    blocks = F.expr(f"cast(ceil(m / {HOT}) as int)")
+    left = open_keys.select("key", F.pmod(F.xxhash64("s"), blocks).cast("int").alias("block"), F.col("s").alias("a"), F.col("at").alias("a_at"), F.col("c").alias("ca"))
+    right = open_keys.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("s").alias("b"), F.col("at").alias("b_at"), F.col("c").alias("cb"))
+    meet = (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    rest = left.join(right, meet & enough("a_at", "b_at")).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    more = similar(C.stage(rest, "rest"), texts, reps, shingle, p, q)
+    root = components(edges.unionByName(more))
+    named = reps.join(root, F.col("s") == F.col("node"), "left").select("s", "id", F.coalesce("root", "s").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    sets = C.stage(named.join(least, "root").select("s", "component_id"), "near")
+    return found.select(F.col("id").alias("doc_id"), "s").join(sets, "s").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each group of near duplicates one row, that of the smallest doc_id; columns as given.
 
     Rows with a null id cannot be named, and stay.
     """
-    found = groups(docs, shingle, words64, bits_for(similarity, words64))
+    found = near(docs, shingle, similarity)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.filter("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
