@@ -59,3 +59,17 @@ def test_no_pair_from_the_limit_up_is_lost(spark):
     want = held(spark, texts)
     assert sum(want[1000 + i] == i for i in range(120)) > 80
     assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crowded_shingles_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 50)  # crowded keys are also compared in blocks
+    rng = random.Random(2)
+    texts = {}
+    base = prose(rng, 200)
+    for i in range(150):  # variants of one text, many of them under 0.8 to each other
+        texts[i] = " ".join(edited(rng, base, 2 + i % 4))
+    template = prose(rng, 160)
+    for i in range(100):  # near copies among texts that share a template
+        own = prose(rng, 45)
+        texts[1000 + i], texts[2000 + i] = " ".join(template + own), " ".join(template + edited(rng, own, 1))
+    held(spark, texts)
