@@ -73,3 +73,14 @@ def test_crowded_shingles_lose_no_pair(spark, monkeypatch):
         own = prose(rng, 45)
         texts[1000 + i], texts[2000 + i] = " ".join(template + own), " ".join(template + edited(rng, own, 1))
     held(spark, texts)
+
+
+def test_documents_under_the_limit_stay(spark):
+    rng = random.Random(3)
+    template = prose(rng, 160)
+    texts = {}
+    for i in range(150):  # different texts of similarity 0.72, each with one near copy
+        own = prose(rng, 30)
+        texts[i], texts[1000 + i] = " ".join(template + own), " ".join(template + own[:-1] + ["end"])
+    want = held(spark, texts)
+    assert sum(want[i] == i for i in want) == 150
