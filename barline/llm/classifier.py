@@ -86,7 +86,7 @@ def describe_all(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 x = describe(buf, offs)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[a:b], "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    return chosen.mapInArrow(run, "doc_id long, x binary")
+    return chosen.mapInArrow(C.light(run), "doc_id long, x binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -117,27 +117,20 @@ class Model:
 
 
 def _added(train: DataFrame, sums, width: int) -> np.ndarray:
-    """Adds ``sums(x, y)``, a vector of ``width`` floats, over all rows: per task, then per adder, then here."""
+    """Adds ``sums(x, y)``, a vector of ``width`` floats, over all rows: per task, then piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         total = np.zeros(width)
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 if part.num_rows:
                     total += sums(_matrix(part.column("x")), np.array(part.column("y").to_pylist(), float))
-        yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId() % _ADDERS], pa.int32()), "v": [total.tobytes()]})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(width)
-        for v in table.column("v"):
-            total += np.frombuffer(v.as_py())
-        return pa.table({"k": table.column("k")[:1].cast(pa.int32()), "v": [total.tobytes()]})
+        pieces = np.array_split(total, _ADDERS)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(_ADDERS), pa.int32()), "v": [p.tobytes() for p in pieces]})
 
-    parts = train.mapInArrow(run, "k int, v binary").groupBy("k").applyInArrow(add, "k int, v binary").collect()
-    return sum((np.frombuffer(bytes(p["v"])) for p in sorted(parts, key=lambda p: p["k"])), np.zeros(width))
+    found = C.vector_sums(train.mapInArrow(C.light(run), "k int, v binary"), np.float64)
+    return np.concatenate([found[k] for k in range(_ADDERS)]) if found else np.zeros(width)
 
 
 def pool(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -207,4 +200,4 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                     }
                 )
 
-    return described.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return described.mapInArrow(C.light(run), "doc_id long, held_out boolean, score double, predicted int")

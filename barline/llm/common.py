@@ -8,11 +8,12 @@ bytes other than U+0020 and U+0009..U+000D; a null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once (one longer document is one slice).
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Bytes of one Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
 #: The largest table that an operator broadcasts by itself, in bytes.
 BROADCAST_BYTES = 64 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,17 +39,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Keep Arrow batches at ``BATCH_BYTES`` in this session, whatever the length of the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not str(spark.conf.get(name)).rstrip("bB").isdigit() or int(str(spark.conf.get(name)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the one that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it.  Only where that is unset (local tests)
-    a temporary folder is made and becomes the session's checkpoint folder.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a session on one
+    machine gets a temporary folder; on a cluster it is an error.
     """
+    bounded(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="barline-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -59,6 +72,58 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give freed memory back to the system; Python workers live longer than tasks."""
+    global _powers, _inverses
+    if len(_powers) > 2 * SLICE:
+        _powers = _inverses = np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def light(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with ``trim`` at the end of each task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def vector_sums(parts: DataFrame, kind: type) -> dict[int, np.ndarray]:
+    """Sums of the vectors ``v`` (bytes of ``kind``) by ``k``, for a few values of ``k``.
+
+    Each ``k`` is summed by one task that reads the vectors as a stream and holds
+    one sum, so that memory does not grow with the number of tasks.
+    """
+    wide = np.float64 if np.issubdtype(kind, np.floating) else np.int64
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v"), strict=True):
+                x = np.frombuffer(v.as_buffer(), kind)
+                if k in total:
+                    total[k] += x
+                else:
+                    total[k] = x.astype(wide)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(list(total), pa.int32()), "v": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+
+    found = parts.select("k", "v").repartition(16, "k").mapInArrow(light(add), "k int, v binary").collect()
+    return {r["k"]: np.frombuffer(bytes(r["v"]), wide) for r in found}
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of a whole row; rows that are alike in all columns share it."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() != "map"])
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver's cleaner drop shuffle files that no live frame refers to."""
     for _ in range(2):  # Python's references go first, then the JVM's

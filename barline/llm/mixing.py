@@ -16,8 +16,8 @@ table) give the range where the budget ends, and only that range's documents are
 sorted: no source, however large, meets in one task.
 
 Nulls and edge cases: null text has size 0; null is a source of its own, last;
-a null or non-positive weight counts as the smallest weight; null ids share a
-key; repeated rows are taken one by one; sources of size 0 have target 0; an
+a null or non-positive weight counts as the smallest weight; a null id takes the
+text in its place for the key; repeated rows are taken one by one; sources of size 0 have target 0; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -84,8 +84,9 @@ def mix(
     share: float = SHARE,
     cap: float = CAP,
     seed: int = 0,
+    row: Column | None = None,
 ) -> DataFrame:
-    """One row a document: ``doc_id, size, source_size, target, taken, source, copies``.
+    """One row a document: ``doc_id, size, source_size, target, taken, source, copies``, and ``row`` if one is given.
 
     ``taken`` are words, repeats counted; ``copies`` counts whole documents, the
     one on the edge when at least half of it is taken.
@@ -95,7 +96,8 @@ def mix(
         F.col(key).cast("long").alias("doc_id"),
         F.col(source).alias("source"),
         sizes(F.col(text)).alias("size"),
-        sampling_key(F.col(key), w, seed).alias("key"),
+        sampling_key(F.coalesce(F.col(key).cast("string"), F.col(text)), w, seed).alias("key"),
+        *([] if row is None else [row.alias("row")]),
     ).withColumn("part", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("key"))))).cast("int"))
     rows = C.stage(rows, "mix")
     sums = C.stage(rows.groupBy("source", "part").agg(F.sum("size").alias("n")), "mix-sums")
@@ -130,21 +132,36 @@ def mix(
         (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
         "source",
         (F.col("epochs") + half).cast("long").alias("copies"),
+        *([] if row is None else ["row"]),
     )
 
 
+def _times(rows: DataFrame, copies: str) -> DataFrame:
+    """Rows as often as ``copies`` says; long runs are made in two steps of bounded arrays."""
+    some = rows.filter(f"{copies} > 0").withColumn("__thousand", F.explode(F.expr(f"sequence(0L, ({copies} - 1) div 1000)")))
+    return some.withColumn("__one", F.explode(F.expr(f"sequence(1L, least(1000L, {copies} - 1000 * __thousand))")))
+
+
 def materialize(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: rows of ``docs`` as often as they are taken (ids must be unique)."""
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    key = options.get("key", "doc_id")
-    joined = docs.join(taken, F.col(key).eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The mixed corpus itself: rows of ``docs`` as often as they are taken.
+
+    A row is known by a hash of all its columns, so null and repeated ids do no
+    harm.  Rows alike in all columns share what is taken of them.
+    """
+    taken = mix(docs, row=C.row_hash(docs), **options).groupBy("row").agg(F.sum("copies").alias("c"), F.count("*").alias("n"))
+    taken = C.stage(taken.filter("c > 0").select(F.col("row").alias("__hash"), F.expr("c div n").alias("__each"), F.expr("c % n").alias("__over")), "mix-rows")
+    marked = docs.select(C.row_hash(docs).alias("__own"), F.struct("*").alias("__row"))
+    joined = marked.join(taken, F.col("__own") == F.col("__hash"))
+    out = _times(joined, "__each")
+    if taken.filter("__over > 0").limit(1).count():
+        out = out.unionByName(_times(joined.filter("__over > 0").dropDuplicates(["__own"]), "__over"))
+    return out.select("__row.*")
 
 
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         -ln((CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+         -ln((CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
            / greatest(1.0 / (1.0 + 20.0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))
              / greatest(length(coalesce(text, '')), 1)), 0.001) AS key
   FROM documents),

@@ -36,7 +36,7 @@ MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_SLICES = 16
+_SLICES = 64
 
 
 def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,28 +65,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if trusted[a:b].any():
                 counts[1] += np.bincount(buckets[trusted[a:b][rows]], minlength=1 << BITS)
     parts = counts.reshape(2, _SLICES, -1)
-    yield pa.RecordBatch.from_pydict(
-        {"slice": pa.array(range(_SLICES), pa.int32()), "counts": [parts[:, k].tobytes() for k in range(_SLICES)]}
-    )
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-    return pa.table({"slice": table.column("slice")[:1].cast(pa.int32()), "counts": [total.tobytes()]})
+    yield pa.RecordBatch.from_pydict({"k": pa.array(range(_SLICES), pa.int32()), "v": [parts[:, k].tobytes() for k in range(_SLICES)]})
 
 
 def fit(docs: DataFrame, text: str = "text", trusted: str = "trusted") -> np.ndarray:
     """The log-likelihood ratio of each bucket (a fixed number of doubles)."""
-    sums = (
-        docs.select(F.col(text).cast("binary").alias("text"), F.col(trusted).cast("boolean").alias("trusted"))
-        .mapInArrow(_count, "slice int, counts binary")
-        .groupBy("slice")
-        .applyInArrow(_add, "slice int, counts binary")
-    )
-    parts = sorted((r["slice"], bytes(r["counts"])) for r in sums.collect())  # _SLICES rows of fixed size
+    C.bounded(docs.sparkSession)
+    chosen = docs.select(F.col(text).cast("binary").alias("text"), F.col(trusted).cast("boolean").alias("trusted"))
+    parts = C.vector_sums(chosen.mapInArrow(C.light(_count), "k int, v binary"), np.int64)
     if not parts:
         return np.zeros(1 << BITS)
-    counts = np.concatenate([np.frombuffer(p, np.int64).reshape(2, -1) for _, p in parts], axis=1).astype(float)
+    counts = np.concatenate([parts[k].reshape(2, -1) for k in range(_SLICES)], axis=1).astype(float)
     rest = (counts[0] + 1) / (counts[0] + 1).sum()
     if not counts[1].sum():
         return np.zeros(1 << BITS)
@@ -135,29 +124,31 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean"
 
 
-def apply(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Statistics, score and verdict of every row of ``docs``, with the ``carry`` columns."""
+def _judged(table: np.ndarray, buf: np.ndarray, offs: np.ndarray, threshold: float) -> dict[str, pa.Array]:
+    """Statistics, score and verdict of each row."""
+    s = statistics(buf, offs)
+    buckets, rows = _grams(buf, offs)
+    n = np.bincount(rows, minlength=len(offs) - 1)
+    llr = np.bincount(rows, weights=table[buckets], minlength=len(offs) - 1) / np.maximum(n, 1)
+    failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
+    out = {k: pa.array(v, pa.int64()) for k, v in s.items()}
+    return out | {"llr": pa.array(llr), "base_failed": pa.array(failed), "kept": pa.array(~failed & (llr >= threshold))}
+
+
+def apply(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id``, statistics, score and verdict of every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # 2**BITS floats
-    names = list(carry)
-    chosen = docs.select(*[F.col(c) for c in names], F.col(text).cast("binary").alias("__text"))
+    chosen = docs.select("doc_id", F.col(text).cast("binary").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
         for batch in batches:
-            for a, b, buf, offs in C.slices(batch.column("__text")):
-                s = statistics(buf, offs)
-                buckets, rows = _grams(buf, offs)
-                n = np.bincount(rows, minlength=b - a)
-                llr = np.bincount(rows, weights=table[buckets], minlength=b - a) / np.maximum(n, 1)
-                failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
-                out = {c: batch.column(c)[a:b] for c in names} | {k: pa.array(v, pa.int64()) for k, v in s.items()}
-                out |= {"llr": pa.array(llr), "base_failed": pa.array(failed), "kept": pa.array(~failed & (llr >= threshold))}
-                yield pa.RecordBatch.from_pydict(out)
-
-    schema = T.StructType([f for f in chosen.schema if f.name != "__text"])
+            for a, b, buf, offs in C.slices(batch.column("text")):
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[a:b]} | _judged(sent.value, buf, offs, threshold))
+
+    schema = T.StructType([chosen.schema["doc_id"]])
     for name, kind in (x.split() for x in SCHEMA.split(", ")):
         schema = schema.add(name, kind)
-    return chosen.mapInArrow(score, schema)
+    return chosen.mapInArrow(C.light(score), schema)
 
 
 def with_trust(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -173,7 +164,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they are."""
-    model = fit(with_trust(docs, labels))
-    whole = docs.select(F.struct("*").alias("__row"), "text")
-    return apply(whole, model, carry=("__row",)).filter("kept").select("__row.*")
+    """The rows of ``docs`` that pass, with their columns as they are (each row goes to Python once)."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(with_trust(docs, labels)).astype(np.float32))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offs in C.slices(batch.column("row").field("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("row")[a:b].filter(_judged(sent.value, buf, offs, THRESHOLD)["kept"])], ["row"])
+
+    whole = docs.select(F.struct("*").alias("row"))
+    return whole.mapInArrow(C.light(passing), whole.schema).select("row.*")

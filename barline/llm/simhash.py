@@ -32,7 +32,9 @@ component are compared.
 
 Null and empty texts have fingerprint zero and are linked like any other; a
 null doc_id keeps its row and takes its group's smallest id; repeated rows give
-repeated result rows; an empty table gives an empty result.
+repeated result rows; an empty table gives an empty result.  ``keep_one`` names
+rows by id and a hash of all columns, so rows with null or repeated ids are kept
+or dropped one by one; extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,7 +96,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1, key: str =
                 fp = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words64), pa.array(values))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[a : a + n], "fp": fp})
 
-    return chosen.mapInArrow(run, "doc_id long, fp array<long>")
+    C.bounded(docs.sparkSession)
+    return chosen.mapInArrow(C.light(run), "doc_id long, fp array<long>")
 
 
 def _segments(prints: DataFrame) -> DataFrame:
@@ -228,13 +231,6 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
 
-def _added(table: pa.Table) -> pa.Table:
-    total = np.zeros(SKETCH // _PIECES, np.int64)
-    for v in table.column("v"):
-        total += np.frombuffer(v.as_py(), np.uint32)
-    return pa.table({"k": table.column("k")[:1].cast(pa.int32()), "v": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-
 def sketch(texts: DataFrame, shingle: int) -> np.ndarray:
     """How often the shingles of each bucket occur."""
 
@@ -246,15 +242,31 @@ def sketch(texts: DataFrame, shingle: int) -> np.ndarray:
         parts = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(_PIECES, -1)
         yield pa.RecordBatch.from_pydict({"k": pa.array(range(_PIECES), pa.int32()), "v": [p.tobytes() for p in parts]})
 
-    found = texts.select("text").mapInArrow(run, "k int, v binary").groupBy("k").applyInArrow(_added, "k int, v binary").collect()
+    found = C.vector_sums(texts.select("text").mapInArrow(C.light(run), "k int, v binary"), np.uint32)
     out = np.zeros((_PIECES, SKETCH // _PIECES), np.uint32)
-    for r in found:
-        out[r["k"]] = np.frombuffer(bytes(r["v"]), np.uint32)
+    for k, v in found.items():
+        out[k] = np.minimum(v, 2**32 - 1)
     return out.reshape(-1)
 
 
+#: What names a row: whether its id is null, the id, and a hash of the whole row.
+_ID = "struct<z: boolean, i: bigint, h: bigint>"
+
+
+def row_id(docs: DataFrame, key: str = "doc_id") -> Column:
+    """Names each row, also where ids are null or repeated; only rows alike in all columns share a name."""
+    own = F.col(key).cast("long")
+    return F.struct(own.isNull().alias("z"), F.coalesce(own, F.lit(0)).alias("i"), C.row_hash(docs).alias("h"))
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """A 256-bit map of a set: each hash flips one bit.  Maps of sets that differ by d elements differ in d bits at most."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def prefixes(texts: DataFrame, counts: np.ndarray, shingle: int, p: int, q: int) -> DataFrame:
-    """``id``, ``s`` (the set's signature), ``n`` (its size) and the first shingles ``keys`` in the common order."""
+    """``id``, ``s`` (the set's signature), ``n`` (its size), its map ``bits`` and the first shingles ``keys`` in the common order."""
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,17 +275,17 @@ def prefixes(texts: DataFrame, counts: np.ndarray, shingle: int, p: int, q: int)
             for a, b, buf, offs in C.slices(batch.column("text")):
                 sets = shingle_sets(buf, offs, shingle)
                 first = [x[np.argsort(often[_bucket(x)], kind="stable")[: len(x) + 1 + -len(x) * p // q]] for x in sets]
-                columns = [batch.column("id")[a:b], pa.array([_signature(x) for x in sets]), pa.array([len(x) for x in sets]), _longs(first)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "keys"])
+                columns = [batch.column("id")[a:b], pa.array([_signature(x) for x in sets]), pa.array([len(x) for x in sets]), _longs([_bits(x) for x in sets]), _longs(first)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "bits", "keys"])
 
-    return texts.mapInArrow(run, "id long, s long, n long, keys array<long>")
+    return texts.mapInArrow(C.light(run), f"id {_ID}, s long, n long, bits array<long>, keys array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     """The pairs ``a, b`` of signatures whose sets have a Jaccard similarity of at least p/q."""
     asked = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     wanted = C.stage(reps.join(asked, "s", "left_semi").select(F.col("id").alias("__id")).distinct(), "asked")
-    chosen = texts.join(C.small(wanted, 16, wanted.count()), F.col("id") == F.col("__id"), "left_semi")
+    chosen = texts.join(C.small(wanted, 48, wanted.count()), F.col("id") == F.col("__id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +293,7 @@ def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, p
                 sets = shingle_sets(buf, offs, shingle)
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in sets]), _longs(sets)], ["s", "hashes"])
 
-    sets = C.stage(chosen.select("text").mapInArrow(run, "s long, hashes array<long>"), "sets")
+    sets = C.stage(chosen.select("text").mapInArrow(C.light(run), "s long, hashes array<long>").dropDuplicates(["s"]), "sets")
     both = pairs.join(sets.select(F.col("s").alias("a"), F.col("hashes").alias("ha")), "a").join(
         sets.select(F.col("s").alias("b"), F.col("hashes").alias("hb")), "b"
     )
@@ -289,12 +301,11 @@ def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, p
     return C.stage(both.filter(shared >= F.lit(p) * (F.size("ha") + F.size("hb"))).select("a", "b"), "similar")
 
 
-def near(docs: DataFrame, shingle: int, similarity: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a non-null id and text: ``doc_id`` and ``component_id``, the smallest id that a chain of
-    similarities of at least ``similarity`` leads to."""
+def classes(docs: DataFrame, shingle: int, similarity: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a row: its name ``id`` and ``root``, the smallest name that a chain of similarities of at least ``similarity`` leads to."""
     limit = Fraction(str(similarity))
     p, q = limit.numerator, limit.denominator
-    texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    texts = docs.select(row_id(docs, key).alias("id"), F.col(text).cast("binary").alias("text"))
     found = C.stage(prefixes(texts, sketch(texts, shingle), shingle, p, q), "prefixes")
     reps = C.stage(found.groupBy("s").agg(F.min("id").alias("id")), "reps")
     # one row a set: copies never multiply
@@ -316,27 +327,39 @@ def near(docs: DataFrame, shingle: int, similarity: float, key: str = "doc_id",
     named = shared.join(root, F.col("s") == F.col("node"), "left").select("key", "s", "at", "m", F.coalesce("root", "s").alias("c"))
     named = C.stage(named, "named")
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key")
-    open_keys = named.join(mixed, "key", "left_semi")
+    maps = found.select("s", "bits").dropDuplicates(["s"])
+    open_keys = named.join(mixed, "key", "left_semi").join(maps, "s")
     # A crowded shingle is cut into blocks of one side, each compared with all of the other.
     blocks = F.expr(f"cast(ceil(m / {HOT}) as int)")
-    left = open_keys.select("key", F.pmod(F.xxhash64("s"), blocks).cast("int").alias("block"), F.col("s").alias("a"), F.col("at").alias("a_at"), F.col("c").alias("ca"))
-    right = open_keys.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("s").alias("b"), F.col("at").alias("b_at"), F.col("c").alias("cb"))
+    left = open_keys.select("key", F.pmod(F.xxhash64("s"), blocks).cast("int").alias("block"), F.col("s").alias("a"), F.col("at").alias("a_at"), F.col("c").alias("ca"), F.col("bits").alias("ba"))
+    right = open_keys.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("s").alias("b"), F.col("at").alias("b_at"), F.col("c").alias("cb"), F.col("bits").alias("bb"))
     meet = (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    rest = left.join(right, meet & enough("a_at", "b_at")).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    # Sets that share x differ by n + n' - 2 x elements, so in at most as many bits of their maps: an exact bound on x.
+    apart = " + ".join(f"bit_count(ba[{k}] ^ bb[{k}])" for k in range(4))
+    close = F.expr(f"{p + q} * (a_at.n + b_at.n - ({apart})) >= {2 * p} * (a_at.n + b_at.n)")
+    rest = left.join(right, meet & enough("a_at", "b_at") & close).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = similar(C.stage(rest, "rest"), texts, reps, shingle, p, q)
     root = components(edges.unionByName(more))
     named = reps.join(root, F.col("s") == F.col("node"), "left").select("s", "id", F.coalesce("root", "s").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    sets = C.stage(named.join(least, "root").select("s", "component_id"), "near")
-    return found.select(F.col("id").alias("doc_id"), "s").join(sets, "s").select("doc_id", "component_id")
+    least = named.groupBy("root").agg(F.min("id").alias("least"))
+    sets = C.stage(named.join(least, "root").select("s", "least"), "near")
+    return found.select("id", "s").join(sets, "s").select("id", F.col("least").alias("root"))
+
+
+def near(docs: DataFrame, shingle: int, similarity: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: ``doc_id`` and ``component_id``, the smallest id of its group (null if none has one)."""
+    own = lambda c: F.when(~F.col(f"{c}.z"), F.col(f"{c}.i"))
+    return classes(docs, shingle, similarity, key, text).select(own("id").alias("doc_id"), own("root").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of each group of near duplicates one row, that of the smallest doc_id; columns as given.
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of near duplicates one row, that of the smallest id (null last); columns as given.
 
-    Rows with a null id cannot be named, and stay.
+    Rows are named by ``row_id``, so null and repeated ids are treated row by row;
+    rows alike in all columns are one group and one of them stays.
     """
-    found = near(docs, shingle, similarity)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    found = classes(docs, shingle, similarity, key, text)
+    kept = C.stage(found.filter("id = root").select(F.col("id.h").alias("__h"), F.col("id.i").alias("__i"), F.col("id.z").alias("__z")).distinct(), "kept")
+    marked = docs.select(row_id(docs, key).alias("__id"), F.struct("*").alias("__row")).select("__id.h", "__id.i", "__id.z", "__row")
+    held = marked.join(kept.hint("merge"), (F.col("h") == F.col("__h")) & (F.col("i") == F.col("__i")) & (F.col("z") == F.col("__z")), "left_semi")
+    return held.dropDuplicates(["h", "i", "z"]).select("__row.*")

@@ -101,6 +101,8 @@ def test_sharding(spark, docs, rows):
     with pytest.raises(sharding.Conflict):
         sharding.commit(live, folder, version)
     sharding.vacuum(spark, folder)
+    assert sharding.versions(spark, folder) == [1, 2, 3, 4]  # within the grace period nothing goes
+    sharding.vacuum(spark, folder, 0)
     assert sharding.versions(spark, folder) == [version] and sharding.read(spark, folder, docs.schema).count() == len(rows)
 
 
