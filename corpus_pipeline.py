@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet to the shared folder and reads it back for the next one.
 All but the last return the columns of ``documents``.
+
+Edge cases: null and empty texts fail the base rules and go at the first stage,
+so later stages see them only when run on their own; null and repeated ids and
+repeated rows are judged row by row; extra columns are carried whatever their
+names; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaking = common.stage(found.filter("doc_id is not null").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaking, F.col("doc_id") == F.col("__leak"), "left_anti")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    # Whether a row leaks depends on its text alone, so the text's hash names it: ids may be null or repeated.
+    found = decontam.leaks(docs.select(F.xxhash64("text").alias("h"), "text"), bench, key="h")
+    leaking = common.stage(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(leaking, F.xxhash64("text") == F.col("__leak"), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
