@@ -69,6 +69,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = f"{shared_dir(df.sparkSession, name)}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -84,6 +85,20 @@ def trim() -> None:
         pass
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """``trim`` for the driver, its JVM too (where the JVM has the command)."""
+    trim()
+    try:
+        jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+        calls = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+        given = array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        next(c for c in calls if c.getName() == "invoke").invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Exception:  # another JVM: nothing depends on it
+        pass
+
+
 def light(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``, with ``trim`` at the end of each task."""
 
@@ -100,9 +115,11 @@ def vector_sums(parts: DataFrame, kind: type) -> dict[int, np.ndarray]:
     """Sums of the vectors ``v`` (bytes of ``kind``) by ``k``, for a few values of ``k``.
 
     Each ``k`` is summed by one task that reads the vectors as a stream and holds
-    one sum, so that memory does not grow with the number of tasks.
+    one sum, so that memory does not grow with the number of tasks.  Integers are
+    summed and returned in 64 bits; floats are summed in 64 bits and returned as they came.
     """
-    wide = np.float64 if np.issubdtype(kind, np.floating) else np.int64
+    floats = np.issubdtype(kind, np.floating)
+    wide, given = (np.float64, kind) if floats else (np.int64, np.int64)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -113,10 +130,12 @@ def vector_sums(parts: DataFrame, kind: type) -> dict[int, np.ndarray]:
                     total[k] += x
                 else:
                     total[k] = x.astype(wide)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(list(total), pa.int32()), "v": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"k": pa.array(list(total), pa.int32()), "v": pa.array([x.astype(given).tobytes() for x in total.values()], pa.binary())})
 
-    found = parts.select("k", "v").repartition(16, "k").mapInArrow(light(add), "k int, v binary").collect()
-    return {r["k"]: np.frombuffer(bytes(r["v"]), wide) for r in found}
+    found = parts.select("k", "v").repartition(16, "k").mapInArrow(light(add), "k int, v binary").toArrow()
+    sums = {k: np.frombuffer(v.as_buffer(), given) for k, v in zip(found.column("k").to_pylist(), found.column("v"), strict=True)}
+    trim()
+    return sums
 
 
 def row_hash(df: DataFrame) -> Column:
