@@ -17,17 +17,7 @@ from pyspark.sql import types as T
 
 
 def average(x: np.ndarray, alpha: float, least: int = 0) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    value, old, seen = np.nan, 1.0, 0
-    for i, v in enumerate(x):
-        if seen:
-            old *= 1.0 - alpha
-        if v == v:
-            value = v if not seen else (old * value + alpha * v) / (old + alpha)
-            old, seen = 1.0, seen + 1
-        if seen >= max(least, 1):
-            out[i] = value
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=False, min_periods=max(least, 1)).mean().to_numpy()
 
 
 def span(n: int) -> float:

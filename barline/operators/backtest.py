@@ -1,8 +1,8 @@
 """Backtests without lookahead: replays, trades, event studies, equity curves, books.
 
 Positions count rows of the union calendar (``bar_no``): a missing bar is a gap, not
-the next bar.  Exits are found by joining trades to the bars of their window and
-taking the first that qualifies, so no path is walked row by row.
+the next bar.  A trade's window is written out as bar numbers and joined by symbol
+and bar; the first bar that qualifies is its exit, so no path is walked row by row.
 """
 
 from __future__ import annotations
@@ -26,49 +26,51 @@ def replay(indicators: DataFrame, conditions: list[dict[str, Any]], start: str |
     return rows.withColumn("onset", set_onsets(rows))
 
 
-def entries(rows: DataFrame, last_bar: int) -> DataFrame:
+def entries(rows: DataFrame) -> DataFrame:
     """B2: the open of the next calendar row after each onset; skipped if missing or not positive."""
     w = over_time(order="bar_no")
     r = rows.withColumns({"entry_px": F.lead("open").over(w), "entry_bar": F.col("bar_no") + 1})
-    keep = F.col("onset") & (F.col("entry_px") > 0) & (F.col("entry_bar") <= last_bar)
-    return r.filter(keep).select("symbol", F.col("date").alias("signal_date"), "entry_bar", "entry_px", F.col("atr14").alias("atr0"))
+    keep = F.col("onset") & (F.col("entry_px") > 0) & (F.col("entry_bar") <= F.col("last_bar"))
+    return r.filter(keep).select("symbol", F.col("date").alias("signal_date"), "entry_bar", "entry_px", F.col("atr14").alias("atr0"), "last_bar")
 
 
-def exits(trades: DataFrame, grid: DataFrame, model: str, last_bar: int, hold: int = 10, stop: float = 2.0, target: float = 3.0, cap: int = 40) -> DataFrame:
+def exits(trades: DataFrame, grid: DataFrame, model: str, hold: int = 10, stop: float = 2.0, target: float = 3.0, cap: int = 40) -> DataFrame:
     """Exit bar, price and reason, return, best and worst excursion in percent.
 
     ``grid``: ``symbol, bar_no, date, open, high, low, close, matched`` on the calendar.
+    A trade names the bars it may meet, so it joins its own window and nothing else.
     """
+    if model not in ("hold", "atr", "signal"):
+        raise ValueError(model)
     span = hold - 1 if model == "hold" else cap
-    t = trades.withColumn("end_bar", F.least(F.col("entry_bar") + span, F.lit(last_bar)))
-    g = grid.select(F.col("symbol").alias("__s"), "bar_no", F.col("date").alias("__date"), "open", "high", "low", "close", "matched")
-    inside = t.join(g, (F.col("symbol") == F.col("__s")) & F.col("bar_no").between(F.col("entry_bar"), F.col("end_bar"))).drop("__s")
-    keys = ["symbol", "signal_date", "entry_bar", "entry_px", "end_bar"]
+    t = trades.withColumn("end_bar", F.least(F.col("entry_bar") + span, F.col("last_bar")))
+    t = t.filter("atr0 > 0") if model == "atr" else t
+    t = t.withColumn("bar_no", F.explode(F.sequence("entry_bar", "end_bar")))
+    inside = t.join(grid.select("symbol", "bar_no", "date", "open", "high", "low", "close", "matched"), ["symbol", "bar_no"])
+    ends = F.col("bar_no") == F.col("end_bar")
     if model == "hold":
-        reason = F.when(F.col("bar_no") == F.col("entry_bar") + span, "hold").otherwise("eod")
-        hit = inside.filter("close is not null").withColumns({"px": F.col("close"), "why": reason, "rank": -F.col("bar_no")})
+        hit, rank, px = F.col("close").isNotNull(), -F.col("bar_no"), F.col("close")
+        why = F.when(F.col("bar_no") == F.col("entry_bar") + span, "hold").otherwise("eod")
     elif model == "atr":
         low, high = F.col("entry_px") - stop * F.col("atr0"), F.col("entry_px") + target * F.col("atr0")
-        stopped, won, ends = F.coalesce(F.col("low") <= low, F.lit(False)), F.coalesce(F.col("high") >= high, F.lit(False)), F.col("bar_no") == F.col("end_bar")
-        px = F.when(stopped, F.when(F.col("open") < low, F.col("open")).otherwise(low)).when(won, F.when(F.col("open") > high, F.col("open")).otherwise(high)).otherwise(F.col("close"))
+        stopped, won = F.coalesce(F.col("low") <= low, F.lit(False)), F.coalesce(F.col("high") >= high, F.lit(False))
+        hit, rank = stopped | won | ends, F.col("bar_no")
+        px = F.when(stopped, F.least("open", low)).when(won, F.greatest("open", high)).otherwise(F.col("close"))
         why = F.when(stopped, "stop").when(won, "target").otherwise("cap")
-        hit = inside.filter("atr0 > 0").withColumns({"px": px, "why": why, "rank": F.col("bar_no"), "__hit": stopped | won | ends}).filter("__hit")
-    elif model == "signal":
-        gone = ~F.coalesce("matched", F.lit(False))
-        hit = inside.withColumns({"px": F.col("close"), "why": F.when(gone, "signal").otherwise("cap"), "rank": F.col("bar_no"), "__hit": gone | (F.col("bar_no") == F.col("end_bar"))}).filter("__hit")
     else:
-        raise ValueError(model)
-    chosen = hit.groupBy(*keys).agg(F.min_by(F.struct("bar_no", "__date", "px", "why"), "rank").alias("x"))
-    chosen = chosen.select(*keys, F.col("x.bar_no").alias("exit_bar"), F.col("x.__date").alias("exit_date"), F.col("x.px").alias("exit_px"), F.col("x.why").alias("exit_reason")).filter("exit_px > 0")
-    path = inside.select("symbol", "signal_date", "bar_no", "high", "low").join(chosen.select("symbol", "signal_date", "exit_bar"), ["symbol", "signal_date"]).filter("bar_no <= exit_bar")
-    seen = path.groupBy("symbol", "signal_date").agg(F.max("high").alias("h"), F.min("low").alias("l"))
-    out = chosen.join(seen, ["symbol", "signal_date"])
-    return out.select(
-        "symbol", "signal_date", "entry_bar", "entry_px", "exit_bar", "exit_date", "exit_px", "exit_reason",
-        (100 * (F.col("exit_px") / F.col("entry_px") - 1)).alias("return_pct"),
-        (F.col("exit_bar") - F.col("entry_bar") + 1).alias("bars_held"),
-        (100 * (F.col("h") / F.col("entry_px") - 1)).alias("mfe_pct"),
-        (100 * (F.col("l") / F.col("entry_px") - 1)).alias("mae_pct"),
+        gone = ~F.coalesce("matched", F.lit(False))
+        hit, rank, px, why = gone | ends, F.col("bar_no"), F.col("close"), F.when(gone, "signal").otherwise("cap")
+    chosen = F.struct(rank.alias("rank"), F.col("bar_no").alias("exit_bar"), F.col("date").alias("exit_date"), px.alias("exit_px"), why.alias("exit_reason"))
+    path = F.collect_list(F.struct("bar_no", "high", "low"))  # at most ``cap`` bars
+    one = inside.groupBy("symbol", "signal_date", "entry_bar", "entry_px").agg(F.min(F.when(hit, chosen)).alias("x"), path.alias("path")).filter("x.exit_px > 0")
+    held = F.filter("path", lambda p: p["bar_no"] <= F.col("x.exit_bar"))
+    best, worst = F.array_max(F.transform(held, lambda p: p["high"])), F.array_min(F.transform(held, lambda p: p["low"]))
+    return one.select(
+        "symbol", "signal_date", "entry_bar", "entry_px", "x.exit_bar", "x.exit_date", "x.exit_px", "x.exit_reason",
+        (100 * (F.col("x.exit_px") / F.col("entry_px") - 1)).alias("return_pct"),
+        (F.col("x.exit_bar") - F.col("entry_bar") + 1).alias("bars_held"),
+        (100 * (best / F.col("entry_px") - 1)).alias("mfe_pct"),
+        (100 * (worst / F.col("entry_px") - 1)).alias("mae_pct"),
     )
 
 
@@ -77,7 +79,7 @@ def forward_returns(events: DataFrame, grid: DataFrame, benchmark: DataFrame, ba
     w, b = over_time(order="bar_no"), Window.orderBy("bar_no")
     own = grid.select("symbol", F.col("bar_no").alias(bar), *[(100 * (ratio(F.lead("close", h).over(w), "close") - 1)).alias(f"f{h}") for h in HORIZONS])
     market = benchmark.select(F.col("bar_no").alias(bar), *[(100 * (ratio(F.lead("close", h).over(b), "close") - 1)).alias(f"m{h}") for h in HORIZONS])
-    j = events.join(own, ["symbol", bar]).join(F.broadcast(market), bar, "left")
+    j = events.join(own, ["symbol", bar]).join(market, bar, "left")
     cells = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("fwd"), (F.col(f"f{h}") - F.col(f"m{h}")).alias("excess")) for h in HORIZONS])
     return j.select(*events.columns, F.explode(cells).alias("x")).select(*events.columns, "x.*").filter("fwd is not null")
 
@@ -135,8 +137,9 @@ def equity_curve(trades: DataFrame, grid: DataFrame, calendar: DataFrame) -> Dat
     A symbol is held in (entry, exit]; the mean divides by all held, priced or not.
     """
     w = over_time(order="bar_no")
-    r = grid.select(F.col("symbol").alias("__s"), "bar_no", (ratio("close", F.lag("close").over(w)) - 1).alias("r"))
-    held = trades.select("symbol", "entry_bar", "exit_bar").join(r, (F.col("symbol") == F.col("__s")) & (F.col("bar_no") > F.col("entry_bar")) & (F.col("bar_no") <= F.col("exit_bar")))
+    r = grid.select("symbol", "bar_no", (ratio("close", F.lag("close").over(w)) - 1).alias("r"))
+    days = trades.filter("exit_bar > entry_bar").select("symbol", F.explode(F.sequence(F.col("entry_bar") + 1, F.col("exit_bar"))).alias("bar_no"))
+    held = days.join(r, ["symbol", "bar_no"])
     once = held.groupBy("bar_no", "symbol").agg(F.max("r").alias("r"))
     day = once.groupBy("bar_no").agg((F.coalesce(F.sum("r"), F.lit(0.0)) / F.count("*")).alias("ret"), F.count("*").alias("n_held"))
     d = calendar.select("date", "bar_no").join(day, "bar_no", "left").fillna(0.0, ["ret"]).fillna(0, ["n_held"])
@@ -193,3 +196,15 @@ def target_book(suggestions: DataFrame, stance: str, posture: str) -> DataFrame:
 def side_of(call: Column) -> Column:
     """1 for calls that add, -1 for calls that cut, else 0."""
     return F.when(call.isin("ROTATE IN", "HOLD"), 1).when(call.isin("ROTATE OUT", "AVOID"), -1).otherwise(0)
+
+
+def strategy_signals(grid: DataFrame, conditions: list[dict[str, Any]], start: str, features: list[str]) -> DataFrame:
+    """Entries of a strategy from ``start`` on, with the indicators of the signal bar as ``features``.
+
+    Indicators come computed over all history, so that they are warm at the start;
+    matches before it do not count as earlier ones (T21).
+    """
+    r = replay(grid, conditions, start)
+    e = entries(r)
+    at = r.select("symbol", F.col("date").alias("signal_date"), F.struct(*features).alias("features"))
+    return e.join(at, ["symbol", "signal_date"])

@@ -28,14 +28,15 @@ def _over_days(n: int):
 
 def aggregates(bars: DataFrame, extreme: int = EXTREME) -> DataFrame:
     """A1-A5: one row a date: advances, declines, volumes, shares above averages, new extremes."""
-    w = bars.withColumns({"__chg": F.col("close") - F.lag("close").over(over_time())} | {f"__s{n}": simple_average("close", n) for n in AVERAGES})
+    w = averages(bars.select("symbol", "date", "close", "volume"), [(f"__e{n}", "close", span(n), n) for n in EMAS])
     w = w.withColumns(
         {
+            "__chg": F.col("close") - F.lag("close").over(over_time()),
+            **{f"__s{n}": simple_average("close", n) for n in AVERAGES},
             "__hi": guarded(F.max("close"), "close", last_n(extreme), extreme),
             "__lo": guarded(F.min("close"), "close", last_n(extreme), extreme),
         }
     )
-    w = averages(w, [(f"__e{n}", "close", span(n), n) for n in EMAS])
     up, down, close = F.col("__chg") > 0, F.col("__chg") < 0, F.col("close")
     out = [
         count_if(up).alias("advances"),
@@ -196,3 +197,53 @@ def gauges(days: DataFrame) -> DataFrame:
         (100.0 * ratio("advances", F.col("advances") + F.col("declines"))).alias("adv_pct"),
         (100.0 * ratio("new_highs", F.col("new_highs") + F.col("new_lows"))).alias("nh_pct"),
     )
+
+
+def regime_state(days: DataFrame, active_events: DataFrame) -> DataFrame:
+    """One row: score of the last known day with its parts, less active divergences (two at most), and the state."""
+    s = F.col("summation")
+    known = days.filter("summation is not null").withColumn("__d", s - F.lag(s, SLOPE).over(_days()))
+    last = known.agg(F.max_by(F.struct("date", "summation", F.coalesce("__d", F.lit(0.0)).alias("slope")), "date").alias("x"))
+    pct = days.filter("pct_above_200 is not null").agg(F.max_by("pct_above_200", "date").alias("p"))
+    n = active_events.agg(F.count("*").alias("n_divergences"))
+    one = last.crossJoin(pct).crossJoin(n).select("x.*", F.col("p").alias("pct_above_200"), "n_divergences").filter("date is not null")
+    parts = {
+        "level_part": F.when(s > 0, 1).otherwise(-1),
+        "slope_part": F.when(F.col("slope") > 0, 1).otherwise(-1),
+        "breadth_part": F.when(F.col("pct_above_200") >= BROAD, 1).when(F.col("pct_above_200") < NARROW, -1).otherwise(0),
+        "divergence_part": -F.least(F.col("n_divergences"), F.lit(2)).cast("int"),
+    }
+    one = one.withColumns(parts).withColumn("score", sum((F.col(c) for c in parts), F.lit(0)))
+    return one.withColumn("regime", F.when(F.col("score") >= 3, "HEALTHY").when(F.col("score") <= -2, "DETERIORATING").otherwise("NEUTRAL"))
+
+
+#: Extremes of the oscillator, of the volume index and of the short average.
+OVERSOLD, OVERBOUGHT, PANIC, EUPHORIA, WASHOUT, STRETCH, RECENT = -70.0, 70.0, 2.0, 0.5, 20.0, 85.0, 21
+
+
+def extremes(days: DataFrame, state: DataFrame, thrust_dates: DataFrame) -> DataFrame:
+    """One row: the last day's extremes as tags, read in the light of the regime."""
+    last = days.agg(F.max_by(F.struct("mcclellan", "trin", "pct_above_20"), "date").alias("x")).select("x.*")
+    recent = days.select("date").orderBy(F.col("date").desc()).limit(RECENT)
+    fired = thrust_dates.join(recent, "date", "left_semi").agg(F.max("date").alias("thrust"))
+    j = last.crossJoin(state.select("regime")).crossJoin(fired)
+    tags = F.array(
+        F.when(F.col("mcclellan") <= OVERSOLD, "oversold").when(F.col("mcclellan") >= OVERBOUGHT, "overbought"),
+        F.when(F.col("trin") >= PANIC, "panic").when(F.col("trin") <= EUPHORIA, "euphoria"),
+        F.when(F.col("pct_above_20") <= WASHOUT, "washout").when(F.col("pct_above_20") >= STRETCH, "stretch"),
+        F.when(F.col("thrust").isNotNull(), F.concat(F.lit("thrust "), F.col("thrust").cast("string"))),
+    )
+    return j.select("regime", F.concat_ws(", ", F.array_compact(tags)).alias("tags"))
+
+
+def tape(monitor_days: DataFrame, index: DataFrame, n: int = 60) -> DataFrame:
+    """The newest n days of the monitor, newest first, beside the index's close of the same day."""
+    close = index.select("date", F.col("close").alias("index_close"))
+    return monitor_days.orderBy(F.col("date").desc()).limit(min(250, max(5, n))).join(close, "date", "left").orderBy(F.col("date").desc())
+
+
+def dashboard(days: DataFrame, equal: DataFrame, weighted: DataFrame, n: int = 250) -> DataFrame:
+    """The last n days of breadth and its chains with the concentration ratio (no value is carried)."""
+    a, b = equal.select("date", F.col("close").alias("__a")), weighted.select("date", F.col("close").alias("__b"))
+    tail = days.orderBy(F.col("date").desc()).limit(n)
+    return tail.join(a, "date", "left").join(b, "date", "left").withColumn("concentration", ratio("__a", "__b")).drop("__a", "__b")

@@ -31,12 +31,11 @@ def flow_totals(signals: DataFrame) -> DataFrame:
     return signals.agg(F.count("*").alias("n"), F.coalesce(F.sum("notional"), F.lit(0.0)).alias("premium"), side("bullish").alias("bullish"), side("bearish").alias("bearish"), F.sum("session_volume").alias("size"), F.sum("open_interest").alias("open_interest"))
 
 
-def feed_order(signals: DataFrame, by: str, descending: bool = True) -> DataFrame:
+def feed_order(signals: DataFrame, by: str, descending: bool = True, then: str | None = None) -> DataFrame:
     """H2: an unknown volume-to-interest ratio is infinite, other unknowns are 0 or empty."""
-    kind = dict(signals.dtypes)[by]
-    rest = F.lit("") if kind == "string" else F.lit(0.0)
+    rest = F.lit("") if dict(signals.dtypes)[by] == "string" else F.lit(0.0)
     key = F.coalesce(F.col(by), F.lit(float("inf")) if by == "vol_oi" else rest)
-    return signals.orderBy(key.desc() if descending else key.asc())
+    return signals.orderBy(key.desc() if descending else key.asc(), *([then] if then else []))
 
 
 def present(*columns: str) -> Column:
@@ -151,3 +150,37 @@ def match_series(title: Column, keywords: list[tuple[str, str]]) -> Column:
     for word, series in keywords:
         out = out.when(F.lower(title).contains(word), series)
     return out
+
+
+def merged_list(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """A list (``symbol, position``) with another one behind it; each symbol once, where it came first."""
+    rows = new.select("symbol", F.lit(1).alias("part"), "position")
+    if old is not None:
+        rows = rows.unionByName(old.select("symbol", F.lit(0).alias("part"), "position"))
+    first = rows.groupBy("symbol").agg(F.min(F.struct("part", "position")).alias("o"))
+    return first.select("symbol", F.row_number().over(Window.orderBy("o")).alias("position"))  # one person's list
+
+
+def unconfirmed(signals: DataFrame, before: str) -> DataFrame:
+    """Signals of earlier days without a result."""
+    return signals.filter(F.col("entry_exit").isNull() & (F.col("day") < F.lit(before).cast("date")))
+
+
+def with_results(signals: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """Results (``result``) set where there was none; ``latest`` marks the newest day."""
+    j = signals.join(results.select(*keys, "result"), keys, "left").withColumn("entry_exit", F.coalesce("entry_exit", "result")).drop("result")
+    newest = signals.agg(F.max("day").alias("__d"))
+    return j.crossJoin(newest).withColumn("latest", F.col("day") == F.col("__d")).drop("__d")
+
+
+def reference_period(day: Column, kind: Column) -> Column:
+    """The month or the quarter before a release's date, in words."""
+    month, quarter = F.add_months(day, -1), F.add_months(day, -3)
+    return F.when(kind == "month", F.date_format(month, "MMM yyyy")).otherwise(F.concat(F.lit("Q"), F.quarter(quarter), F.lit(" "), F.year(quarter)))
+
+
+def relative_day(day: Column, today: str) -> Column:
+    """A date as seen from today."""
+    n = F.datediff(day, F.lit(today).cast("date"))
+    far = F.when(n > 0, F.concat(F.lit("in "), n, F.lit(" days"))).otherwise(F.concat(-n, F.lit(" days ago")))
+    return F.when(n == 0, "today").when(n == 1, "tomorrow").when(n == -1, "yesterday").otherwise(far)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -220,36 +222,108 @@ def profile(bars: DataFrame, n: int = PROFILE_BARS, bins: int = BINS) -> DataFra
     return cells.select("symbol", "bin", (a + F.col("step") / 2).alias("centre"), share.alias("v")).groupBy("symbol", "bin").agg(F.max("centre").alias("centre"), F.sum(F.coalesce("v", F.lit(0.0))).alias("volume"))
 
 
-def value_area(cells: DataFrame) -> DataFrame:
-    """Point of control, the value area grown greedily from it, shape and high/low-volume nodes.
+#: Fixed values of a profile's shape: no dominant level, lesser peaks, valleys between peaks, high and low levels, nearness of nodes.
+FLAT_PEAK, PEAK_SHARE, VALLEY_SHARE, POC_HIGH, POC_LOW, NEAR_NODE = 2.0, 0.50, 0.55, 0.60, 0.40, 0.01
+
+
+def _grown(v: np.ndarray, share: float) -> tuple[int, int, int]:
+    """The bin with most volume and the ends of the area grown from it (ties: the first bin, and upwards)."""
+    poc = int(v.argmax())
+    walls = np.concatenate([[-1.0], v, [-1.0]])
+    lo = hi = poc + 1
+    got, want = v[poc], share * v.sum()
+    while got < want and (lo > 1 or hi < len(v)):
+        up = walls[hi + 1] >= walls[lo - 1]
+        hi, lo = hi + up, lo - (not up)
+        got += walls[hi if up else lo]
+    return poc, lo - 1, hi - 1
+
+
+def _shape(v: np.ndarray, tops: np.ndarray, poc: int) -> str:
+    """B with two peaks and a deep valley, trend without a dominant level, else P, b or D by the level's place."""
+    high = tops[v[tops] >= PEAK_SHARE * v.max()]
+    for k, a in enumerate(high):
+        for b in high[k + 1 :]:
+            if b > a + 1 and v[a + 1 : b].min() <= VALLEY_SHARE * min(v[a], v[b]):
+                return "B"
+    if v.max() < FLAT_PEAK * v.sum() / np.count_nonzero(v):
+        return "trend"
+    place = poc / (len(v) - 1)
+    return "P" if place >= POC_HIGH else "b" if place <= POC_LOW else "D"
 
-    One row a symbol; the 50 bins of a symbol are one array and the greedy walk
-    is a fold over it (ties: the first largest bin, and upwards).
+
+def value_area(cells: DataFrame, share: float = VALUE_SHARE) -> DataFrame:
+    """Level with most volume, value area, shape, skew, high- and low-volume nodes of each symbol's profile.
+
+    A symbol's 50 bins are one array; the greedy walk is a fold over it.
     """
     arrays = cells.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bin", "centre", "volume"))).alias("cells"))
 
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for symbol, cell in zip(rows["symbol"], rows["cells"], strict=True):
-            centre = np.array([c["centre"] for c in cell])
-            v = np.array([c["volume"] for c in cell])
-            poc = int(v.argmax())
-            lo = hi = poc
-            got, want = v[poc], VALUE_SHARE * v.sum()
-            while got < want and (lo > 0 or hi < len(v) - 1):
-                above = v[hi + 1] if hi < len(v) - 1 else -1.0
-                below = v[lo - 1] if lo > 0 else -1.0
-                if above >= below:
-                    hi += 1
-                    got += above
-                else:
-                    lo -= 1
-                    got += below
-            out.append((symbol, centre[poc], centre[lo], centre[hi], poc / max(len(v) - 1, 1)))
-        return pd.DataFrame(out, columns=["symbol", "poc", "val", "vah", "poc_position"])
-
-    schema = "symbol string, poc double, val double, vah double, poc_position double"
-    return arrays.mapInPandas(lambda it: (grow(x) for x in it), schema)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for symbol, cell in zip(rows["symbol"], rows["cells"], strict=True):
+                x, v = np.array([c["centre"] for c in cell]), np.array([c["volume"] for c in cell])
+                if not v.sum() > 0 or len(v) < 3:
+                    continue
+                poc, lo, hi = _grown(v, share)
+                rise, fall = np.diff(v)[:-1], np.diff(v)[1:]
+                tops, bottoms = np.flatnonzero((rise > 0) & (fall <= 0)) + 1, np.flatnonzero((rise < 0) & (fall >= 0)) + 1
+                nodes = tops[(v[tops] >= PEAK_SHARE * v.max()) & (tops != poc)]
+                mean = np.average(x, weights=v)
+                spread = np.average((x - mean) ** 2, weights=v)
+                skew = np.average((x - mean) ** 3, weights=v) / spread**1.5 if spread > 0 else 0.0
+                out.append((symbol, x[poc], x[lo], x[hi], poc / (len(v) - 1), _shape(v, tops, poc), skew, list(x[nodes]), list(x[bottoms])))
+            yield pd.DataFrame(out, columns=["symbol", "poc", "val", "vah", "poc_position", "shape", "skew", "hvn", "lvn"])
+
+    schema = "symbol string, poc double, val double, vah double, poc_position double, shape string, skew double, hvn array<double>, lvn array<double>"
+    return arrays.mapInPandas(read, schema)
+
+
+def profile_now(bars: DataFrame, areas: DataFrame) -> DataFrame:
+    """The last close in its profile: zone, distance from the level, nearness of nodes, and its contribution."""
+    last = bars.filter("close is not null").groupBy("symbol").agg(F.max_by("close", "date").alias("px"))
+    a = areas.join(last, "symbol")
+    px = F.col("px")
+    near = lambda nodes: F.exists(nodes, lambda p: F.abs(px - p) <= NEAR_NODE * px)
+    a = a.withColumns(
+        {
+            "zone": zone(px, F.col("val"), F.col("vah")),
+            "poc_dist_pct": F.bround(100 * (px - F.col("poc")) / F.when(F.col("poc") != 0, F.col("poc")), 2),
+            "near_hvn": near(F.array_append("hvn", F.col("poc"))),
+            "near_lvn": near(F.col("lvn")),
+        }
+    )
+    lean = F.when(F.col("zone") == "discount", 0.6).when(F.col("zone") == "premium", -0.6).otherwise(0.0)
+    form = F.when(F.col("shape") == "b", 0.3).when(F.col("shape") == "P", -0.3).otherwise(0.0)
+    return a.withColumn("vp_strength", clamp(lean + form, -1.0, 1.0))
+
+
+def accumulation_contribution(read: DataFrame) -> DataFrame:
+    """C4: signed strength of the last bar's facts, and how it reads."""
+    days = F.col("accum_days") + F.col("distrib_days")
+    balance = F.coalesce(ratio(F.col("accum_days") - F.col("distrib_days"), days), F.lit(0.0))
+    s = strength(F.coalesce("ud_ratio", F.lit(1.0)), F.coalesce("adl_dir", F.lit(0.0)), balance, F.col("divergence"))
+    tag = F.when(F.col("divergence") != "confirming", F.concat(F.lit(" "), F.col("divergence"))).otherwise("")
+    said = F.concat(F.lit("A/D "), F.col("rating"), F.format_string(" (U/D %.2f)", "ud_ratio"), tag)
+    return read.withColumns({"ac_strength": s, "ac_label": F.when(F.abs(s) > 1e-9, said).otherwise("")})
+
+
+def exhaustion_now(bars: DataFrame) -> DataFrame:
+    """Each symbol's climax on its last bar; none is NULL."""
+    e = exhaustion(bars).groupBy("symbol").agg(F.max_by("exhaustion", "date").alias("exhaustion"))
+    return e.withColumn("exhaustion", F.when(F.col("exhaustion") != "none", F.col("exhaustion")))
+
+
+def live_reads(bars: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Each symbol's current climax, profile and accumulation reads and its flag win rates."""
+    profile_ = profile_now(bars, value_area(profile(bars))).select("symbol", "zone", "shape", "vp_strength")
+    accumulated = accumulation_contribution(accumulation_now(bars)).select("symbol", "rating", "ac_strength")
+    rates = win_rates(flag_events(bars), labels)
+    out = exhaustion_now(bars).withColumnRenamed("exhaustion", "vol_exh")
+    for part in (profile_, accumulated, rates.select("symbol", F.col("bull").alias("flag_win_bull"), F.col("bull_n").alias("flag_n_bull"), F.col("bear").alias("flag_win_bear"), F.col("bear_n").alias("flag_n_bear"))):
+        out = out.join(part, "symbol", "left")
+    return out.fillna(0, ["flag_n_bull", "flag_n_bear"])
 
 
 def zone(price: Column, val: Column, vah: Column) -> Column:

@@ -86,3 +86,30 @@ def leg_weights(calls: DataFrame, longs: int = 3, shorts: int = 3) -> DataFrame:
         part = picked.select("symbol", "date", F.lit(side).alias("side"), (side / F.count("*").over(Window.partitionBy("date"))).alias("weight"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def cross_percentile(rows: DataFrame, x: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Share of known values at or below each, 0 to 99, over all rows or within a list."""
+    return pooled_rank(rows, x, name, by)
+
+
+def blended_strength(rows: DataFrame, columns: dict[str, float], name: str = "rs_value") -> DataFrame:
+    """K4: weighted mean of the strength columns that are known."""
+    from .scores import weighted
+
+    return rows.withColumn(name, weighted({c: (F.col(c), w) for c, w in columns.items()}))
+
+
+def holdings(rows: DataFrame, quotes: DataFrame, fund: str, n: int = 10) -> DataFrame:
+    """A fund's n largest holdings, weights in percent, with their quotes."""
+    top = rows.filter(F.col("fund") == fund).orderBy(F.col("weight").desc(), "symbol").limit(n)
+    return top.select("symbol", F.bround(100 * F.col("weight"), 2).alias("weight_pct")).join(quotes, "symbol", "left")
+
+
+def theme_leaders(bars: DataFrame, themes: DataFrame, n: int = 3, back: int = 21) -> DataFrame:
+    """The members of each theme that moved most over ``back`` bars."""
+    moved = bars.select("symbol", "date", (100 * change("close", back)).alias("move"))
+    last = moved.groupBy("symbol").agg(F.max_by("move", "date").alias("move")).filter("move is not null")
+    j = themes.select("theme", F.explode("symbols").alias("symbol")).join(last, "symbol")
+    w = Window.partitionBy("theme").orderBy(F.col("move").desc(), "symbol")
+    return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)

@@ -147,3 +147,64 @@ def last_points(points: DataFrame, tail: int = 6) -> DataFrame:
     """The last ``tail`` points of each symbol, newest first (``age`` 0)."""
     w = Window.partitionBy("symbol").orderBy(F.col("date").desc())
     return points.withColumn("age", F.row_number().over(w) - 1).filter(F.col("age") < tail)
+
+
+def turning_scores(points: DataFrame, tail: int = 6) -> DataFrame:
+    """How strongly a tail turns in and out: momentum over the tail and at its end, and distance from 100; 0 to 100."""
+    w = over_time()
+    p = points.withColumns({"x": F.bround("x", 3), "y": F.bround("y", 3)})
+    full = F.count("y").over(w.rowsBetween(-(tail - 1), 0)) >= 2
+    start = F.first("y").over(w.rowsBetween(-(tail - 1), 0))
+    run, kick = F.col("y") - start, F.col("y") - F.lag("y").over(w)
+    gap = F.col("x") - 100
+
+    def score(sign: int) -> Column:
+        away = F.least(F.greatest(-sign * gap, F.lit(0.0)), F.lit(3.0))
+        return F.when(full, clamp(F.bround(50 + 16 * sign * run + 8 * F.greatest(sign * kick, F.lit(0.0)) + 5 * away), 0.0, 100.0)).otherwise(0.0).cast("int")
+
+    return p.withColumns({"accumulate": score(1), "distribute": score(-1)})
+
+
+def as_of_date(bars: DataFrame, day: str) -> DataFrame:
+    """Bars up to a date; nothing later can be seen by what follows."""
+    return bars.filter(F.col("date") <= F.lit(day).cast("date"))
+
+
+def contribution_of(waves: DataFrame) -> DataFrame:
+    """One number for a time frame: the wave signal and 0.4 of the combined divergence's sign; and that divergence."""
+    from .wave import combined_divergence
+
+    d = combined_divergence(F.col("div_rs"), F.col("div_px"))
+    side = F.when(d == "bull", 1.0).when(d == "bear", -1.0).otherwise(0.0)
+    return waves.select("symbol", "date", (signal() + 0.4 * side).alias("contrib"), d.alias("div"))
+
+
+def attached(rows: DataFrame, frames: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """Contributions of other time frames as of each row: ``mtf_<name>`` (0 where unknown) and ``div_<name>`` ("none").
+
+    ``frames``: name to (``symbol, date, contrib, div``, rows by which it lags).  Both
+    sides meet on one ordered axis per symbol, so there is no inequality join.
+    """
+    out = rows
+    for name, (frame, lag_rows) in frames.items():
+        own = over_time()
+        known = frame.select("symbol", "date", F.struct("contrib", "div").alias("x")).withColumn("x", F.lag("x", lag_rows).over(own) if lag_rows else F.col("x"))
+        axis = out.select("symbol", "date").distinct().withColumn("asked", F.lit(True)).join(known, ["symbol", "date"], "full_outer")
+        seen = axis.withColumn("x", F.last("x", True).over(own.rowsBetween(Window.unboundedPreceding, 0))).filter("asked")
+        seen = seen.select("symbol", "date", F.coalesce("x.contrib", F.lit(0.0)).alias(f"mtf_{name}"), F.coalesce("x.div", F.lit("none")).alias(f"div_{name}"))
+        out = out.join(seen, ["symbol", "date"], "left")
+    return out
+
+
+def agreement(direction: Column, rs: Column, price: Column, higher: Column, lower: Column) -> Column:
+    """Which readings diverge in a direction: RS line and price together, the higher and the lower time frame."""
+    both = F.when((rs == direction) & (price == direction), "RS+price")
+    return F.concat_ws("+", both, F.when(higher == direction, "HTF"), F.when(lower == direction, "LTF"))
+
+
+def divergence_summary(rs: Column, price: Column, higher: Column, lower: Column) -> Column:
+    """Every reading that diverges the same way; bullish ones first, NULL where none does."""
+    named = (("RS", rs), ("price", price), ("HTF", higher), ("LTF", lower))
+    say = lambda d: F.concat_ws("+", *[F.when(c == d, n) for n, c in named])
+    bull, bear = say("bull"), say("bear")
+    return F.when(bull != "", F.concat(F.lit("bullish: "), bull)).when(bear != "", F.concat(F.lit("bearish: "), bear))

@@ -297,3 +297,17 @@ def top_per(df: DataFrame, by: Column, n: int, key: str | None = None) -> DataFr
     if key is None:
         return df.orderBy(by.desc()).limit(n)
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(by.desc()))).filter(F.col("__k") <= n).drop("__k")
+
+
+def rated(rows: DataFrame, market: Column, n: int) -> DataFrame:
+    """K5, K6: scores times the market's factor, within 0 to 99; the best n by the unadjusted score."""
+    factor = F.when(market == "HEALTHY", MARKET["HEALTHY"]).when(market == "DETERIORATING", MARKET["DETERIORATING"]).otherwise(MARKET["NEUTRAL"])
+    out = rows.withColumn("rating", clamp(F.bround(F.col("score") * factor), 0.0, 99.0))
+    return out.orderBy(F.col("score").desc(), "symbol").limit(n)
+
+
+def suggestions(rows: DataFrame, members: DataFrame, regime: str, near_event: bool, n: int) -> DataFrame:
+    """Rows of a watchlist with fundamentals, scores and picks, best first."""
+    own = fundamental(rows.join(members.select("symbol").distinct(), "symbol", "left_semi"))
+    out = picks(own, F.lit(None).cast("double"), F.col("fund_raw"), F.col("rs_rating"), F.lit(regime), F.lit(near_event))
+    return out.orderBy(F.col("pick").desc(), "symbol").limit(n)

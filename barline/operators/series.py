@@ -86,10 +86,17 @@ def aligned(bars: DataFrame, benchmark: DataFrame, name: str = "bench") -> DataF
     return bars.join(filled, "date", "left")
 
 
-def relative_strength(bars: DataFrame, benchmark: DataFrame, horizons: tuple[tuple[str, int], ...] = (("rs_1m_pct", 21), ("rs_3m_pct", 63))) -> DataFrame:
+STRENGTH = (("rs_1m_pct", 21), ("rs_3m_pct", 63))
+
+
+def strength_columns(horizons: tuple[tuple[str, int], ...] = STRENGTH) -> dict[str, Column]:
+    """W12 on rows that have the benchmark's close in ``bench``."""
+    return {name: 100 * (change("close", n) - change("bench", n)) for name, n in horizons}
+
+
+def relative_strength(bars: DataFrame, benchmark: DataFrame, horizons: tuple[tuple[str, int], ...] = STRENGTH) -> DataFrame:
     """Change over n rows less the benchmark's, in percent."""
-    out = aligned(bars, benchmark)
-    return out.withColumns({name: 100 * (change("close", n) - change("bench", n)) for name, n in horizons}).drop("bench")
+    return aligned(bars, benchmark).withColumns(strength_columns(horizons)).drop("bench")
 
 
 def scaled(x: Column | str, window: int, centre: float, key: str | list[str] = "symbol") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "screener", "models", "feeds", "waves")
+MODULES = ("windows", "screener", "models", "feeds", "waves", "stores", "desk", "profiles", "chains", "sequences", "rotations")
 
 
 def load() -> tuple[dict, dict]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.columns import ratio
 from ..functions.recursive import span
 from ..operators import backtest, rankings, rotation, scores, series
 from ..sources import bars as B
+from ..sources.store import session_store
 from ..streaming import polls as P
 from .registry import query, rounded
 from .sql import average, bars, guard, over
@@ -228,16 +231,19 @@ _GRID = f"""cal AS (SELECT date, CAST(row_number() OVER (ORDER BY date) AS INTEG
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    return session_store(spark).once(f"replay-{hashlib.md5(sf.encode()).hexdigest()[:12]}", lambda: _replayed(spark, sf))
+
+
+def _replayed(spark: SparkSession, sf: str) -> DataFrame:
     g = B.grid(B.nation_bars(spark, sf))
     chg = 100 * (ratio("close", F.lag("close").over(series.over_time(order="bar_no"))) - 1)
     g = g.withColumn("chg_pct", chg)
     return backtest.replay(series.atr(g.withColumn("date", F.col("date")), 14), _RULE)
 
 
-def _trades(spark: SparkSession, sf: str, model: str) -> tuple[DataFrame, DataFrame, int]:
+def _trades(spark: SparkSession, sf: str, model: str) -> tuple[DataFrame, DataFrame]:
     g = _grid(spark, sf)
-    last = g.agg(F.max("bar_no")).first()[0] or 0
-    return backtest.exits(backtest.entries(g, last), g, model, last), g, last
+    return backtest.exits(backtest.entries(g), g, model), g
 
 
 _HOLD = """tr AS (SELECT e.symbol, e.signal_date, e.entry_bar, e.entry_px, max(b.bar_no) AS exit_bar FROM e JOIN g2 b ON b.symbol = e.symbol AND b.bar_no BETWEEN e.entry_bar AND e.entry_bar + 9 AND b.close IS NOT NULL GROUP BY ALL),
@@ -247,7 +253,7 @@ _HOLD = """tr AS (SELECT e.symbol, e.signal_date, e.entry_bar, e.entry_px, max(b
 
 @query("b3_hold_trades", f"{_NB}, {_GRID}, {_HOLD} SELECT symbol, signal_date, entry_bar, exit_bar, exit_reason, {_r('return_pct')} AS return_pct, {_r('mfe_pct')} AS mfe_pct FROM th")
 def hold_trades(spark: SparkSession, sf: str) -> DataFrame:
-    t, _, _ = _trades(spark, sf, "hold")
+    t, _ = _trades(spark, sf, "hold")
     return rounded(t.select("symbol", "signal_date", "entry_bar", "exit_bar", "exit_reason", "return_pct", "mfe_pct"))
 
 
@@ -263,7 +269,7 @@ def atr_trades(spark: SparkSession, sf: str) -> DataFrame:
     SELECT h.symbol, signal_date, entry_bar, exit_bar, CASE WHEN NOT x.matched THEN 'signal' ELSE 'cap' END AS exit_reason, {_r('100 * (x.close / entry_px - 1)')} AS return_pct FROM h JOIN g2 x ON x.symbol = h.symbol AND x.bar_no = h.exit_bar WHERE x.close > 0""",
 )
 def signal_trades(spark: SparkSession, sf: str) -> DataFrame:
-    t, _, _ = _trades(spark, sf, "signal")
+    t, _ = _trades(spark, sf, "signal")
     return rounded(t.select("symbol", "signal_date", "entry_bar", "exit_bar", "exit_reason", "return_pct"))
 
 
@@ -287,10 +293,9 @@ def trade_statistics(spark: SparkSession, sf: str) -> DataFrame:
 )
 def forward_study(spark: SparkSession, sf: str) -> DataFrame:
     g = _grid(spark, sf)
-    last = g.agg(F.max("bar_no")).first()[0] or 0
     days = g.select("date", "bar_no").distinct()
     market = days.join(B.market_bars(spark, sf).select("date", "close"), "date", "left").select("bar_no", "close")
-    moves = backtest.forward_returns(backtest.entries(g, last), g, market)
+    moves = backtest.forward_returns(backtest.entries(g), g, market)
     return rounded(backtest.forward_study(moves).select("horizon", "n", "mean", "median", "excess"))
 
 
@@ -302,15 +307,16 @@ def forward_study(spark: SparkSession, sf: str) -> DataFrame:
     SELECT date, CAST(n AS BIGINT) AS n_held, {_r('ret', 5)} AS ret, {_r('ln(eq)', 5)} AS log_equity, {_r('eq / max(eq) OVER (ORDER BY bar_no ROWS UNBOUNDED PRECEDING) - 1', 5)} AS drawdown FROM q""",
 )
 def equity_curve(spark: SparkSession, sf: str) -> DataFrame:
-    t, g, _ = _trades(spark, sf, "hold")
+    t, g = _trades(spark, sf, "hold")
     curve = backtest.equity_curve(t, g, g.select("date", "bar_no").distinct())
     return rounded(curve.select("date", "n_held", "ret", F.log("equity").alias("log_equity"), "drawdown"), 5)
 
 
 @query("b10_performance")
 def performance(spark: SparkSession, sf: str) -> DataFrame:
-    t, g, _ = _trades(spark, sf, "hold")
-    return rounded(backtest.performance(backtest.equity_curve(t, g, g.select("date", "bar_no").distinct())), 4)
+    t, g = _trades(spark, sf, "hold")
+    p = backtest.performance(backtest.equity_curve(t, g, g.select("date", "bar_no").distinct()))
+    return rounded(p.select(F.log1p(F.col("total_return") / 100).alias("log_return"), F.log1p(F.col("cagr") / 100).alias("log_cagr"), "max_drawdown", "sharpe", "in_market"), 4)
 
 
 @query("b11_histogram")

@@ -18,13 +18,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         QUERIES[name] = run
         if sql:
-            # DuckDB's count_if is NULL where every condition is
-            ORACLE_SQL[name] = re.sub(r"count_if\(([^()]*)\)", r"count(*) FILTER (\1)", sql)
+            oracle(name, sql)
         return run
 
     return add
 
 
+def oracle(name: str, sql: str) -> None:
+    """The DuckDB text of a registered query."""
+    # DuckDB's count_if is NULL where every condition is
+    ORACLE_SQL[name] = re.sub(r"count_if\(([^()]*)\)", r"count(*) FILTER (\1)", sql)
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Floating-point columns rounded, so that results compare by value."""
     return df.select(*[(F.round(n, places) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])

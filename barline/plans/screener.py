@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.columns import ratio
 from ..functions.recursive import span
 from ..operators import breadth, indicators, patterns, screen, series
 from ..sources import bars as B
+from ..sources.store import session_store
 from .registry import query, rounded
 from .sql import average, bars, guard, over
 from .windows import _AGG, _DER, _NB, _r
@@ -119,13 +122,18 @@ def volume_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c15_value_area")
 def value_area(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(patterns.value_area(patterns.profile(B.nation_bars(spark, sf))))
+    return rounded(patterns.value_area(patterns.profile(B.nation_bars(spark, sf))).select("symbol", "poc", "val", "vah", "poc_position"))
 
 
-def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
+def _build_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return screen.snapshot(indicators.indicators(B.nation_bars(spark, sf), B.market_bars(spark, sf)))
 
 
+def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored snapshot; it is made by the first query of an application that needs it."""
+    return session_store(spark).once(f"snapshot-{hashlib.md5(sf.encode()).hexdigest()[:12]}", lambda: _build_snapshot(spark, sf))
+
+
 _SNAP_FIELDS = ("sma20", "sma200", "ema10", "ema20", "chg_pct", "gap_pct", "rvol_10d", "high_20d", "low_252")
 _SNAP = f"""ind AS (SELECT *, {guard('avg(close)', 'close', 20, 20)} AS sma20, {guard('avg(close)', 'close', 200, 200)} AS sma200, {average('close', span(10), 10)} AS ema10, {average('close', span(20), 20)} AS ema20,
     100 * (close / {_lag('close')} - 1) AS chg_pct, 100 * (open / {_lag('close')} - 1) AS gap_pct, {guard('avg(volume)', 'volume', 10, 10)} AS av, {guard('max(high)', 'high', 20, 20)} AS h20, {guard('min(low)', 'low', 252, 60)} AS l252 FROM bars),
@@ -135,7 +143,10 @@ _SNAP = f"""ind AS (SELECT *, {guard('avg(close)', 'close', 20, 20)} AS sma20, {
 
 @query("c25_snapshot", f"{_NB}, {_SNAP} SELECT symbol, last_bar, {_r('close')} AS close, {', '.join(_r(c) + f' AS {c}' for c in _SNAP_FIELDS)} FROM snap")
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_snapshot(spark, sf).select("symbol", "last_bar", "close", *_SNAP_FIELDS))
+    """The snapshot job: built from the bars and stored, then read."""
+    store, name = session_store(spark), f"snapshot-{hashlib.md5(sf.encode()).hexdigest()[:12]}"
+    store.replace(name, _build_snapshot(spark, sf))
+    return rounded(store.read(name).select("symbol", "last_bar", "close", *_SNAP_FIELDS))
 
 
 _CONDITIONS = [{"field": "rvol_10d", "op": ">", "value": 0.2}, {"field": "chg_pct", "op": "between", "value": [-60, 60]}, {"field": "price_vs_sma20_pct", "op": "<=", "value": 40}]
@@ -151,29 +162,39 @@ def scan(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(screen.scan(df, _CONDITIONS, "chg_pct", True, 10).select("symbol", "close", "chg_pct", "price_vs_sma20_pct"))
 
 
+_RULES = f"""k1 AS (SELECT *, close - {_lag('close')} AS st, {guard('max(high)', 'high', 252, 60)} AS h252, {guard('min(low)', 'low', 20, 20)} AS l20 FROM bars),
+  k2 AS (SELECT *, CASE WHEN st IS NOT NULL THEN greatest(st, 0) END AS up, CASE WHEN st IS NOT NULL THEN greatest(-st, 0) END AS dn, {_lag('h252')} AS high_252, {_lag('l20')} AS low_20d FROM k1),
+  k3 AS (SELECT *, {average('up', 1 / 14, 14)} AS au, {average('dn', 1 / 14, 14)} AS ad FROM k2),
+  kr AS (SELECT symbol, high_252, low_20d, CASE WHEN ad = 0 AND au > 0 THEN 100.0 WHEN ad <> 0 THEN 100 - 100 / (1 + au / ad) END AS rsi14 FROM k3 WHERE date = (SELECT max(date) FROM bars)),
+  sr AS (SELECT snap.*, kr.high_252, kr.low_20d, kr.rsi14, CASE WHEN ascii(snap.symbol) % 3 = 0 THEN 5 WHEN ascii(snap.symbol) % 3 = 1 THEN 9 END AS dte FROM snap LEFT JOIN kr ON kr.symbol = snap.symbol)"""
+
+
 @query(
     "k13_alerts",
-    f"""{_NB}, {_SNAP}, hits AS (SELECT symbol, unnest([CASE WHEN rvol_10d >= 3 AND chg_pct >= 3 THEN 'vol_thrust_up' END, CASE WHEN rvol_10d >= 3 AND chg_pct <= -3 THEN 'vol_thrust_down' END,
+    f"""{_NB}, {_SNAP}, {_RULES}, hits AS (SELECT symbol, unnest([CASE WHEN rvol_10d >= 3 AND chg_pct >= 3 THEN 'vol_thrust_up' END, CASE WHEN rvol_10d >= 3 AND chg_pct <= -3 THEN 'vol_thrust_down' END,
       CASE WHEN rvol_10d >= 2 AND abs(chg_pct) < 3 AND chg_pct >= 0 THEN 'vol_building_up' END, CASE WHEN rvol_10d >= 2 AND abs(chg_pct) < 3 AND chg_pct < 0 THEN 'vol_building_down' END,
+      CASE WHEN rsi14 >= 80 THEN 'rsi_overbought' END, CASE WHEN rsi14 <= 20 THEN 'rsi_oversold' END,
       CASE WHEN 100 * (close / sma20 - 1) >= 15 THEN 'ma_stretch_up' END, CASE WHEN 100 * (close / sma20 - 1) <= -15 THEN 'ma_stretch_down' END,
-      CASE WHEN close > high_20d THEN 'break_20d_high' END, CASE WHEN close < low_252 THEN 'break_52w_low' END,
-      CASE WHEN gap_pct >= 4 THEN 'gap_up' END, CASE WHEN gap_pct <= -4 THEN 'gap_down' END]) AS rule_key FROM snap)
-    SELECT symbol, rule_key, CASE WHEN rule_key IN ('vol_thrust_up', 'vol_building_up', 'ma_stretch_down', 'break_20d_high', 'gap_up') THEN 'pump' ELSE 'dump' END AS kind FROM hits WHERE rule_key IS NOT NULL""",
+      CASE WHEN close > high_252 THEN 'break_52w_high' WHEN close > high_20d THEN 'break_20d_high' END, CASE WHEN close < low_252 THEN 'break_52w_low' WHEN close < low_20d THEN 'break_20d_low' END,
+      CASE WHEN gap_pct >= 4 THEN 'gap_up' END, CASE WHEN gap_pct <= -4 THEN 'gap_down' END, CASE WHEN dte BETWEEN 0 AND 7 THEN 'earnings_soon' END]) AS rule_key FROM sr)
+    SELECT symbol, rule_key, CASE WHEN rule_key = 'earnings_soon' THEN 'info' WHEN rule_key IN ('vol_thrust_up', 'vol_building_up', 'rsi_oversold', 'ma_stretch_down', 'break_52w_high', 'break_20d_high', 'gap_up') THEN 'pump' ELSE 'dump' END AS kind FROM hits WHERE rule_key IS NOT NULL""",
 )
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    df = screen.derive(_snapshot(spark, sf), "2001-11-05").drop("high_252", "low_20d", "rsi14")
-    return screen.alerts(df)
+    """All fifteen rules on the snapshot, with made-up earnings dates."""
+    k = F.ascii("symbol") % 3
+    df = _snapshot(spark, sf).withColumn("earnings_date", F.when(k == 0, "2001-11-10").when(k == 1, "2001-11-14"))
+    return screen.alerts(screen.derive(df, "2001-11-05"))
 
 
 @query(
     "k14_armed",
     f"""{_NB}, {_SNAP}, now AS (SELECT 1 AS screen_id, symbol, 'screen:up' AS rule_key FROM snap WHERE chg_pct > 0 UNION ALL SELECT 2, symbol, 'screen:busy' FROM snap WHERE rvol_10d > 0.3)
-    SELECT CAST(screen_id AS BIGINT) AS screen_id, symbol, rule_key FROM now WHERE NOT (screen_id = 1 AND symbol < 'F')""",
+    SELECT CAST(screen_id AS BIGINT) AS screen_id, symbol, rule_key FROM now WHERE NOT (screen_id = 1 AND symbol < 'NATION_15')""",
 )
 def armed(spark: SparkSession, sf: str) -> DataFrame:
     df = _snapshot(spark, sf)
     screens = [{"id": 1, "name": "up", "conditions": [{"field": "chg_pct", "op": ">", "value": 0}]}, {"id": 2, "name": "busy", "conditions": [{"field": "rvol_10d", "op": ">", "value": 0.3}]}]
-    before = df.filter("symbol < 'F'").select(F.lit(1).cast("long").alias("screen_id"), "symbol")
+    before = df.filter("symbol < 'NATION_15'").select(F.lit(1).cast("long").alias("screen_id"), "symbol")
     return screen.armed(df, screens, before)[0]
 
 

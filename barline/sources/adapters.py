@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean
@@ -160,3 +163,69 @@ def positions(accounts: DataFrame) -> DataFrame:
 def held_symbols(rows: DataFrame) -> DataFrame:
     """Distinct symbols of shares and funds, in order."""
     return rows.filter(F.col("asset_type").isin("EQUITY", "ETF")).select("symbol").distinct().orderBy("symbol")
+
+
+def html_table(pages: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of the first table of each page (``html``) as texts without tags; header rows have no cells."""
+    first = F.regexp_extract("html", r"(?is)<table[^>]*>(.*?)</table>", 1)
+    rows = pages.select(key, F.explode(F.regexp_extract_all(first, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("r"))
+    cells = rows.select(key, F.regexp_extract_all("r", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1).alias("c")).filter(F.size("c") >= len(columns))
+    text = lambda k: F.trim(F.regexp_replace(F.col("c")[k], r"<[^>]*>", ""))
+    named = cells.select(key, *[text(k).alias(n) for k, n in enumerate(columns)])
+    return named.withColumn("symbol", F.replace("symbol", F.lit("."), F.lit("-"))) if "symbol" in columns else named
+
+
+def meetings(spark: SparkSession, days: list[str], start: str, end: str) -> DataFrame:
+    """Rate decisions, and their minutes three weeks on, within a range."""
+    d = spark.createDataFrame([(x,) for x in days], "d string").select(F.to_date("d").alias("d"))
+    both = d.select(F.col("d").alias("event_date"), F.lit("FOMC rate decision").alias("title"), F.lit("high").alias("importance"))
+    both = both.unionByName(d.select(F.date_add("d", 21).alias("event_date"), F.lit("FOMC minutes").alias("title"), F.lit("med").alias("importance")))
+    return both.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def approximate_calendar(months: DataFrame) -> DataFrame:
+    """Releases on their usual days of each month (``month``, any date in it)."""
+    m = month_marks(months)
+    cells = [
+        ("Employment Situation", F.col("first_friday")),
+        ("Consumer Price Index", F.date_add("month", 11)),
+        ("Producer Price Index", F.date_add("month", 12)),
+        ("Retail Sales", F.date_add("month", 15)),
+        ("Personal Income and Outlays", F.col("last_business_day")),
+        ("Gross Domestic Product", F.when(F.month("month") % 3 == 1, F.date_add("month", 27))),
+    ]
+    each = F.explode(F.array(*[F.struct(day.alias("event_date"), F.lit(title).alias("title")) for title, day in cells]))
+    return m.select(each.alias("x")).select("x.*").filter("event_date is not null")
+
+
+def feed_items(texts: DataFrame, key: str) -> DataFrame:
+    """Items of RSS texts (``xml``): title, link and date."""
+    item = "struct<title: string, link: string, pubDate: string>"
+    parsed = texts.select(key, F.from_xml("xml", f"channel struct<item: array<{item}>>").alias("x"))
+    i = parsed.select(key, F.explode("x.channel.item").alias("i"))
+    day = F.to_date(F.regexp_extract("i.pubDate", r"(\d{1,2} [A-Za-z]{3} \d{4})", 1), "d MMM yyyy")
+    return i.select(key, F.col("i.title").alias("title"), F.col("i.link").alias("link"), day.alias("event_date"))
+
+
+def earnings(calendar: DataFrame, relevant: DataFrame, start: str, end: str, most: int = 250) -> DataFrame:
+    """Dates of relevant symbols; where nothing is known to be relevant, the first ``most``."""
+    inside = calendar.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("symbol", "event_date")
+    if relevant.limit(1).count():
+        return inside.join(relevant.select("symbol").distinct(), "symbol", "left_semi")
+    return inside.orderBy("event_date", "symbol").limit(most)
+
+
+def first_tickers(news: DataFrame, n: int = 6) -> DataFrame:
+    """The first tickers of each article."""
+    return news.withColumn("tickers", F.slice("tickers", 1, n))
+
+
+def bundle(legs: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> dict[str, tuple[DataFrame, bool]]:
+    """Each leg with whether it could be read; a missing one is an empty table of dates."""
+    out = {}
+    for name, read in legs.items():
+        try:
+            out[name] = (read(), True)
+        except AnalysisException:
+            out[name] = (spark.createDataFrame([], "date date"), False)
+    return out

@@ -59,13 +59,15 @@ def confirmations(signals_: DataFrame, interest: DataFrame) -> DataFrame:
 
     ``interest(option_symbol, day, open_interest)``: the next day on which a contract has one.
     """
-    o = interest.select("option_symbol", F.col("day").alias("next_day"), F.col("open_interest").alias("next_oi"))
-    j = signals_.join(o, "option_symbol").filter("next_day > day")
-    first = j.groupBy("day", "option_symbol").agg(F.min_by(F.struct("next_day", "next_oi", "open_interest"), "next_day").alias("x"))
-    base = F.coalesce("x.open_interest", F.lit(0))
+    s = signals_.select("option_symbol", "day", F.col("open_interest").alias("base"), F.lit(True).alias("asked"))
+    o = interest.select("option_symbol", "day", F.struct(F.col("day").alias("next_day"), F.col("open_interest").alias("next_oi")).alias("x"))
+    both = s.unionByName(o, allowMissingColumns=True).withColumn("__n", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    later = Window.partitionBy("option_symbol").orderBy(F.col("__n").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("x", F.min("x").over(later)).filter("asked and x is not null")
+    base = F.coalesce("base", F.lit(0))
     change, limit = F.col("x.next_oi") - base, F.greatest(F.lit(500.0), 0.2 * base)
     state = F.when(change >= limit, "opened").when(change <= -limit, "closed").otherwise("flat")
-    return first.select("day", "option_symbol", F.col("x.next_day").alias("next_day"), state.alias("entry_exit"))
+    return found.select("day", "option_symbol", F.col("x.next_day").alias("next_day"), state.alias("entry_exit"))
 
 
 def first_alerts(alerts: DataFrame) -> DataFrame:

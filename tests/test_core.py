@@ -158,9 +158,9 @@ def test_hold_trade(spark):
     g = B.grid(frame(spark, closes, width=1.0, opens=opens).unionByName(frame(spark, [50.0] * 60, symbol="B")))
     g = g.withColumn("chg_pct", 100 * (F.col("close") / F.lag("close").over(series.over_time(order="bar_no")) - 1))
     r = backtest.replay(series.atr(g), [{"field": "chg_pct", "op": ">", "value": 5}])
-    t = backtest.exits(backtest.entries(r, 60), r, "hold", 60, hold=3).collect()
+    t = backtest.exits(backtest.entries(r), r, "hold", hold=3).collect()
     assert [(x["entry_px"], x["exit_px"], x["exit_reason"]) for x in t] == [(110.0, 114.0, "hold")]
-    s = backtest.exits(backtest.entries(r, 60), r, "signal", 60).collect()
+    s = backtest.exits(backtest.entries(r), r, "signal").collect()
     assert [(x["exit_px"], x["bars_held"]) for x in s] == [(112.0, 1)]
 
 
