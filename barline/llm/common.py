@@ -69,10 +69,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = f"{shared_dir(df.sparkSession, name)}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_staged: list[str] = []
+
+
+def discard(spark: SparkSession, last: int = 1) -> None:
+    """Delete the steps written so far but for the ``last`` ones: for a caller that reads no others any more."""
+    keep = len(_staged) - last
+    for path in _staged[:keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _staged[:keep]
+
+
 def trim() -> None:
     """Give freed memory back to the system; Python workers live longer than tasks."""
     global _powers, _inverses

@@ -109,6 +109,16 @@ def _unzip(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=struct.unpack("<Q", data[:8])[0], codec="zstd", asbytes=True)
 
 
+def _zip_counts(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or in 8 where one needs them."""
+    wide = len(counts) > 0 and int(counts.max()) >= 1 << 32
+    return bytes([wide]) + _zip(counts.astype(np.uint64 if wide else np.uint32).tobytes())
+
+
+def _unzip_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(_unzip(data[1:]), np.uint64 if data[0] else np.uint32)
+
+
 def _sum(table: pa.Table) -> pa.Table:
     """One bucket of the count tables: totals of its n-grams, told to blocks where they exceed the block's own."""
     blocks = table.column("block").to_pylist()
@@ -135,7 +145,7 @@ def _sum(table: pa.Table) -> pa.Table:
         if seen.any():
             out["block"].append(block)
             out["seen"].append(np.packbits(seen).tobytes())
-            out["totals"].append(_zip(t[seen].astype(np.uint32).tobytes()))
+            out["totals"].append(_zip_counts(t[seen]))
     m = len(out["block"])
     return pa.table(
         {
@@ -203,7 +213,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             for r in right.to_pylist():
                 a, b = int(edges[r["bucket"]]), int(edges[r["bucket"] + 1])
                 seen = np.unpackbits(np.frombuffer(r["seen"], np.uint8), count=b - a).astype(bool)
-                total[a:b][seen] = np.frombuffer(_unzip(r["totals"]), np.uint32)
+                total[a:b][seen] = _unzip_counts(r["totals"])
             others = []
             for k, ok in tables:  # counts in all other documents, at each word
                 rest = np.zeros(len(k), np.int64)

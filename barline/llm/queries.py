@@ -73,8 +73,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
     folder = C.shared_dir(spark, "warc")
-    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    found = warc.read(spark, folder)
+    files = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.read(spark, folder, files=files)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
 
 

@@ -224,14 +224,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, ke
                     n_docs += 1
             frames = [b"".join(frames)]  # one piece a batch
         if n_docs:
-            name = f"part-{shard:06d}"
+            name = f"part-{shard:06d}-{uuid.uuid4().hex[:12]}"  # an attempt of its own: only listed pairs are read
             write_whole(folder, f"{name}.idx", index)
             write_whole(folder, f"{name}.rec", frames)
             yield pa.RecordBatch.from_pydict(
                 {"shard": [shard], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_bytes": [at]}
             )
 
-    return C.stage(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_tokens long, n_bytes long"), "shards")
+    return C.stage(ordered.mapInArrow(C.light(run), "shard long, file string, n_docs long, n_tokens long, n_bytes long"), "shards")
 
 
 def read(shards: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -280,4 +280,4 @@ def read(shards: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({c: pa.array(out[c], t) for c, t in kinds.items()})
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(C.light(run), schema)

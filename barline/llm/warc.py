@@ -8,16 +8,21 @@ last has ``WARC-Segment-Total-Length``.  Each record is a gzip member.  Of rows
 with equal payloads of at least ``min_bytes`` the one with the largest id is a
 response and the others are revisits of it, without payload.
 
-``read`` parses files (any store that Spark reads), groups continuations by their
-origin, orders them by number, verifies that no number is missing and that the
-lengths add up to the total, decodes the chunked framing and verifies digests.
-Only segmented records are shuffled; revisits take sizes and digests from their
-response's row, not its payload.
+``write`` names its files by attempt and returns the list of those of the attempts
+that count; ``read`` opens the files of such a list, so that what a lost or doubled
+task left behind is not read.  Without a list it reads a folder of any store.
+
+``read`` groups continuations by their origin, orders them by number, verifies that
+no number is missing and that the lengths add up to the total, decodes the chunked
+framing and verifies digests.  Only segmented records are shuffled; revisits take
+sizes and digests from their response's row, not its payload.
 
 Nulls and edge cases: null html is an empty payload; null and repeated ids are
-written as they are (rows that tie for the largest id are all responses); a record
-that fails a check keeps its row with ``status`` telling why; an empty table
-writes no archive.
+written as they are (rows that tie for the largest id are all responses, each
+reassembled by itself: a header counts the rows that share a record's name); a
+record that fails a check keeps its row with ``status`` telling why, and one whose
+headers cannot be read has a row of NULLs with a status; after a damaged member
+reading goes on at the next one; an empty table writes no archive.
 """
 
 from __future__ import annotations
@@ -34,14 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import write_whole
+from .tokens import filesystem, write_whole
 
 SEGMENT, CHUNK, FILE = 32 << 10, 8 << 10, 16 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PARSED = (
     "record_id string, type string, origin_id string, segment int, total_length long, page_id long, url string, "
-    "digest string, refers_to_record string, payload_bytes long, block binary, status string"
+    "digest string, refers_to_record string, payload_bytes long, block binary, status string, copy string"
 )
 
 
@@ -75,7 +80,7 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(b"WARC/1.1\r\n" + head.encode() + block + b"\r\n\r\n", compresslevel=4, mtime=0)
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, name: str, refers: str | None, refers_page: int | None) -> list[bytes]:
+def records(page_id: int | None, url: str | None, payload: bytes, name: str, refers: str | None, refers_page: int | None, copy: str = "") -> list[bytes]:
     """The records of one row, segments apart."""
     base = {
         "WARC-Target-URI": (url or "about:blank").replace("\r", "").replace("\n", ""),
@@ -83,6 +88,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, name: str, ref
         "Content-Type": "application/http; msgtype=response",
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
         "X-Page-Id": "" if page_id is None else str(page_id),
+        "X-Copy": copy,
     }
     if refers is not None:
         own = {"WARC-Type": "revisit", "WARC-Record-ID": name, "WARC-Refers-To": refers, "WARC-Profile": PROFILE}
@@ -94,7 +100,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, name: str, ref
         if k == 0:
             own = {"WARC-Type": "response", "WARC-Record-ID": name} | base
         else:
-            own = {"WARC-Type": "continuation", "WARC-Record-ID": f"{name[:-1]}:{k}>", "WARC-Segment-Origin-ID": name}
+            own = {"WARC-Type": "continuation", "WARC-Record-ID": f"{name[:-1]}:{k}>", "WARC-Segment-Origin-ID": name, "X-Copy": copy}
         if len(cuts) > 1:
             own |= {"WARC-Segment-Number": str(k + 1)}
             if k == len(cuts) - 1:
@@ -124,12 +130,13 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, row = TaskContext.get().partitionId(), 0, 0
+        attempt = uuid.uuid4().hex[:12]
         members: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            file = f"pages-{part:06d}-{made:04d}.warc.gz"
+            file = f"pages-{part:06d}-{made:04d}-{attempt}.warc.gz"
             write_whole(folder, file, members)
             return pa.RecordBatch.from_pydict({"file": [file], "n_records": [len(members)], "n_bytes": [size]})
 
@@ -140,7 +147,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             for k, p in enumerate(batch.column("payload")):
                 sha = base64.b32encode(bytes.fromhex(shas[k])).decode()
                 refers = name_of(keepers[k], sha) if revisits[k] else None
-                for member in records(ids[k], urls[k], p.as_py(), name_of(ids[k], sha), refers, keepers[k]):
+                row += 1
+                for member in records(ids[k], urls[k], p.as_py(), name_of(ids[k], sha), refers, keepers[k], f"{part}-{row}"):
                     members.append(member)
                     size += len(member)
                     if size >= FILE:
@@ -150,31 +158,50 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             yield flush()
 
     sent = marked.select("id", "url", "payload", "sha", "keeper", F.col("__sha").isNotNull().alias("revisit"))
-    return C.stage(sent.mapInArrow(run, "file string, n_records long, n_bytes long"), "warc-files")
+    return C.stage(sent.mapInArrow(C.light(run), "file string, n_records long, n_bytes long"), "warc-files")
+
+
+_MAGIC = b"\x1f\x8b\x08"
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, unpacked one by one."""
-    while data:
+def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """The gzip members of a file, unpacked one by one, and what is wrong with each.
+
+    After a damaged member the search goes on at the next one's first bytes.
+    """
+    at = 0
+    while at < len(data):
         d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        if not d.eof:
-            raise ValueError("file ends inside a record")
-        data = d.unused_data
-
-
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and block of a record."""
-    end = data.index(b"\r\n\r\n")
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
+        out, problem = b"", None
+        try:
+            out = d.decompress(data[at:])
+            problem = None if d.eof else "file ends inside the record"
+        except zlib.error:
+            problem = "damaged record"
+        if problem is None:
+            at = len(data) - len(d.unused_data)
+        else:
+            following = data.find(_MAGIC, at + 3)
+            at = following if following > 0 else len(data)
+        yield out, problem
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes, str | None]:
+    """Headers (lower-case names) and block of a record, and what is wrong with it."""
+    head, found, rest = data.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not found or not lines[0].startswith("WARC/"):
+        return {}, b"", "not a WARC record"
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    n = int(headers["content-length"])
-    block = data[end + 4 : end + 4 + n]
-    if len(block) < n:
-        raise ValueError("block shorter than its length")
-    return headers, block
+    length = headers.get("content-length", "")
+    if not length.isdigit():
+        return headers, rest, "no length"
+    block = rest[: int(length)]
+    return headers, block, None if len(block) == int(length) else "block shorter than its length"
+
+
+def _whole_number(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdigit() else None
 
 
 def payload_of(block: bytes) -> bytes:
@@ -192,52 +219,62 @@ def _finish(block: bytes | None, want: str | None) -> tuple[str, bytes | None, s
     return found, payload, "ok" if want in (None, found) else "digest differs"
 
 
-def _row(headers: dict[str, str], block: bytes) -> dict:
+def _row(headers: dict[str, str], block: bytes, problem: str | None = None) -> dict:
     h = headers.get
-    page = h("x-page-id")
     want = (h("warc-payload-digest") or "").removeprefix("sha1:") or None
     out = {
         "record_id": h("warc-record-id"),
         "type": h("warc-type"),
         "origin_id": h("warc-segment-origin-id"),
-        "segment": int(h("warc-segment-number") or 0),
-        "total_length": int(h("warc-segment-total-length")) if h("warc-segment-total-length") else None,
-        "page_id": int(page) if page else None,
+        "segment": _whole_number(h("warc-segment-number")) or 0,
+        "total_length": _whole_number(h("warc-segment-total-length")),
+        "page_id": _whole_number(h("x-page-id")),
         "url": h("warc-target-uri"),
         "digest": want,
         "refers_to_record": h("warc-refers-to"),
         "payload_bytes": None,
         "block": None,
-        "status": "ok",
+        "status": problem or "ok",
+        "copy": h("x-copy") or "",
     }
     if out["segment"]:
         out["block"] = block
         out["origin_id"] = out["origin_id"] or out["record_id"]
-    elif out["type"] == "response":
+    elif out["type"] == "response" and problem is None:
         out["digest"], out["block"], out["status"] = _finish(block, want)
         out["payload_bytes"] = len(out["block"]) if out["block"] is not None else None
     return out
 
 
-def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
+def read(spark: SparkSession, folder: str, with_payload: bool = False, files: DataFrame | None = None) -> DataFrame:
     """All response and revisit records with whole payloads.
 
     ``record_id, page_id, url, record_type, payload_bytes, payload_digest,
     refers_to`` (the response's page_id), ``status`` and, if asked for, ``payload``.
+    ``files``: the list that ``write`` returned.
     """
     store = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
         extra = ", payload binary" if with_payload else ""
         return spark.createDataFrame([], "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, status string" + extra)
     schema = pa.schema([(n, pa.int64() if t == "long" else pa.int32() if t == "int" else pa.binary() if t == "binary" else pa.string()) for n, t in (x.split() for x in _PARSED.split(", "))])
-    files = spark.read.format("binaryFile").load(folder).select("content")
+
+    def opened(batch: pa.RecordBatch) -> Iterator[bytes]:
+        if "content" in batch.schema.names:
+            yield from (c.as_py() for c in batch.column("content"))
+            return
+        store, path = filesystem(folder)
+        for name in batch.column("file").to_pylist():
+            with store.open_input_file(f"{path}/{name}") as f:
+                yield f.read()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for content in batch.column("content"):
-                for member in members(content.as_py()):
-                    row = _row(*parse(member))
+            for content in opened(batch):
+                for member, problem in members(content):
+                    headers, block, wrong = parse(member)
+                    row = _row(headers, block, problem or wrong)
                     if row["segment"] == 0 and not with_payload:
                         row["block"] = None
                     rows.append(row)
@@ -248,18 +285,23 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    parsed = C.stage(files.mapInArrow(take, _PARSED), "warc-records")
+    if files is None:
+        sent = spark.read.format("binaryFile").load(folder).select("content")
+    else:
+        sent = files.select("file").repartition(max(1, files.count()))
+    parsed = C.stage(sent.mapInArrow(C.light(take), _PARSED), "warc-records")
     whole = parsed.filter("segment = 0").select("record_id", "type", "page_id", "url", "digest", "refers_to_record", "payload_bytes", "block", "status")
-    parts = parsed.filter("segment > 0").select("origin_id", "segment", "record_id", "total_length", "page_id", "url", "digest", "block")
+    parts = parsed.filter("segment > 0").select("origin_id", "copy", "segment", "record_id", "total_length", "page_id", "url", "digest", "block", "status")
     # A group is one record's segments: no larger than the record.
     joined = (
-        parts.dropDuplicates(["origin_id", "segment"])
-        .groupBy("origin_id")
+        parts.dropDuplicates(["origin_id", "copy", "segment"])
+        .groupBy("origin_id", "copy")
         .agg(
             F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"),
             F.max("segment").alias("last"),
             F.max("total_length").alias("total_length"),
             F.max(F.when(F.col("segment") == 1, F.struct("page_id", "url", "digest"))).alias("head"),
+            F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("damage"),
         )
     )
 
@@ -274,6 +316,7 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
                     status = f"length {len(block)}, not {r['total_length']}"
                     if len(block) == r["total_length"]:
                         found, payload, status = _finish(block, head["digest"])
+                status = r["damage"] or status
                 values = (r["origin_id"], "response", head.get("page_id"), head.get("url"), found, None, None if payload is None else len(payload), payload if with_payload else None, status)
                 for c, v in zip(out, values, strict=True):
                     out[c].append(v)
@@ -281,7 +324,7 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
             yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
     reassembled = joined.mapInArrow(
-        put_together,
+        C.light(put_together),
         "record_id string, type string, page_id long, url string, digest string, refers_to_record string, payload_bytes long, block binary, status string",
     )
     every = whole.unionByName(C.stage(reassembled, "warc-joined"))
@@ -292,4 +335,8 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
     last = [F.col("block").alias("payload")] if with_payload else []
     a = responses.select("record_id", "page_id", "url", F.lit("response").alias("record_type"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), "status", *last)
     b = revisits.select("record_id", "page_id", "url", F.lit("revisit").alias("record_type"), F.col("of.payload_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("of.page_id").alias("refers_to"), status.alias("status"), *last)
-    return a.unionByName(b)
+    lost = every.filter("type is null or type not in ('response', 'revisit')")
+    lost = lost.filter("status <> 'ok'").select(
+        "record_id", "page_id", "url", F.lit(None).cast("string").alias("record_type"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), "status", *last
+    )
+    return a.unionByName(b).unionByName(lost)

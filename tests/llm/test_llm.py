@@ -219,18 +219,20 @@ def test_tokens(spark, docs, rows):
 
 def test_warc(spark):
     big = "é" * 90_000
-    data = [(1, "http://a", "<p>x</p>"), (2, None, None), (3, "u", ""), (4, "u", big), (5, "u", big), (6, "u", "<p>x</p>"), (6, "v", "<p>x</p>"), (None, "n", "z")]
+    data = [(1, "http://a", "<p>x</p>"), (2, None, None), (3, "u", ""), (4, "u", big), (5, "u", big), (6, "u", "<p>x</p>"), (6, "v", "<p>x</p>"), (None, "n", "z"), (5, "w", big), (None, "n", "y" * 80_000), (None, "n", "y" * 80_000)]
     df = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("keeper", F.lit(1))
     folder = C.shared_dir(spark, "w")
-    warc.write(df, folder)
-    got = warc.read(spark, folder, with_payload=True).collect()
+    files = warc.write(df, folder)
+    tokens.write_whole(folder, "pages-000000-0000-lost.warc.gz", warc.records(77, "u", b"left by a lost task", warc.name_of(77, "x"), None, None))
+    got = warc.read(spark, folder, with_payload=True, files=files).collect()
     largest = {}
     for i, _, h in data:
         largest[h or ""] = max(largest.get(h or "", -1), -1 if i is None else i)
     assert len(got) == len(data) and {r["status"] for r in got} == {"ok"}
-    texts = {i: h or "" for i, _, h in data}
+    assert collections.Counter((r["page_id"], r["payload_digest"]) for r in got) == collections.Counter((i, warc.digest((h or "").encode())) for i, _, h in data)
+    texts = {(i, warc.digest((h or "").encode())): h or "" for i, _, h in data}
     for r in got:
-        h = texts[r["page_id"]]
+        h = texts[r["page_id"], r["payload_digest"]]
         assert r["payload_bytes"] == len(h.encode()) and r["payload_digest"] == warc.digest(h.encode())
         response = r["page_id"] is None or largest[h] == r["page_id"]
         assert r["record_type"] == ("response" if response else "revisit") and r["refers_to"] == (None if response else largest[h])
@@ -240,6 +242,31 @@ def test_warc(spark):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_warc_damage(spark):
+    one = warc.records(1, "u", b"first", warc.name_of(1, "a"), None, None)
+    cut = warc.records(2, "u", b"second" * 50, warc.name_of(2, "b"), None, None)[0]
+    parts = warc.records(3, "u", bytes(range(256)) * 400, warc.name_of(3, "c"), None, None)
+    wrong = warc.record({"WARC-Type": "response", "WARC-Record-ID": "<w>", "WARC-Payload-Digest": "sha1:X", "X-Page-Id": "4"}, warc.HTTP + warc.chunked(b"fourth"))
+    broken = warc.record({"WARC-Type": "response", "WARC-Record-ID": "<f>", "X-Page-Id": "5"}, warc.HTTP + b"5\r\nabc")
+    orphan = warc.records(6, "u", b"", "<r>", "<nobody>", 9)
+    folder = C.shared_dir(spark, "damaged")
+    spoiled = cut[:20] + bytes(8) + cut[28:]
+    tokens.write_whole(folder, "a.warc.gz", [*one, spoiled, wrong, broken, *orphan, parts[0], parts[2], b"no archive at all"])
+    tokens.write_whole(folder, "b.warc.gz", [*warc.records(7, "u", b"seventh", "<s>", None, None), cut[:-20]])
+    got = warc.read(spark, folder).collect()
+    by = {r["page_id"]: r["status"] for r in got if r["page_id"] is not None}
+    assert by[1] == by[7] == "ok" and by[4] == "digest differs" and by[5].startswith("bad framing") and by[6] == "response missing" and by[3] == "segment missing"
+    assert by[2] == "file ends inside the record" and sum(r["page_id"] is None and r["status"] != "ok" for r in got) >= 1
+    tokens.write_whole(folder, "c.warc.gz", [parts[1], parts[3][:-1] if len(parts) > 3 else b""])
+    again = {r["page_id"]: r["status"] for r in warc.read(spark, folder).collect()}
+    assert again[3] != "ok" and again[1] == "ok"
+
+
+def test_lm_counts_over_32_bits():
+    big = np.array([1, 2**32 + 5, 7], np.int64)
+    assert lm._unzip_counts(lm._zip_counts(big)).tolist() == big.tolist() and lm._unzip_counts(lm._zip_counts(big[:1])).tolist() == [1]
+
+
 def test_lm(spark, docs, rows):
     ws = [[w.decode() for w in words(r[1])] for r in rows]
     total = collections.Counter(tuple(w[k : k + n]) for w in ws for n in (1, 2, 3) for k in range(len(w) - n + 1))
