@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import over_time, ratio
+from ..sources.store import settled
 from . import series
 
 #: Calls that end a trade; remaining size after late calls; multiples of the entry leg and bars back for its low.
@@ -228,57 +229,62 @@ def schedule(trades: DataFrame, acts_: DataFrame, grid: DataFrame, ladder: str)
     return every.join(bars.select(*key, "bar_no", "fill"), [*key, "bar_no"], "left").select(*key, "bar_no", "frac", F.coalesce("goal", "fill").alias("px"))
 
 
-def scaled_trades(trades: DataFrame, sales: DataFrame) -> DataFrame:
-    """One row a trade: blended return, last bar, sales in order; trades with an unpriced sale are left out."""
+def scaled_trades(trades: DataFrame, sales: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row a trade (and ``by``): blended return, last bar, sales in order; trades with an unpriced sale are left out."""
+    by = by or []
     j = sales.join(trades.select("symbol", "entry_bar", "entry_px"), ["symbol", "entry_bar"])
-    one = j.groupBy("symbol", "entry_bar", "entry_px").agg(
+    one = j.groupBy(*by, "symbol", "entry_bar", "entry_px").agg(
         F.sum(F.col("frac") * (F.col("px") / F.col("entry_px") - 1)).alias("r"), F.max("bar_no").alias("exit_bar"), F.min(F.coalesce(F.col("px") > 0, F.lit(False))).alias("ok"), F.collect_list(F.struct("bar_no", "frac")).alias("steps")
     )
-    return one.filter("ok").select("symbol", "entry_bar", "exit_bar", (100 * F.col("r")).alias("return_pct"), (F.col("exit_bar") - F.col("entry_bar") + 1).alias("bars_held"), "steps")
+    return one.filter("ok").select(*by, "symbol", "entry_bar", "exit_bar", (100 * F.col("r")).alias("return_pct"), (F.col("exit_bar") - F.col("entry_bar") + 1).alias("bars_held"), "steps")
 
 
-def scaled_curve(trades: DataFrame, grid: DataFrame) -> DataFrame:
+def scaled_curve(trades: DataFrame, grid: DataFrame, by: list[str] | None = None) -> DataFrame:
     """By bar the mean move of what is still held, weighted by what is left of each trade with a known move."""
-    days = trades.select("symbol", "steps", F.explode(F.sequence(F.col("entry_bar") + 1, F.col("exit_bar"))).alias("bar_no"))
+    by = by or []
+    days = trades.select(*by, "symbol", "steps", F.explode(F.sequence(F.col("entry_bar") + 1, F.col("exit_bar"))).alias("bar_no"))
     gone = F.aggregate(F.filter("steps", lambda s: s["bar_no"] < F.col("bar_no")), F.lit(0.0), lambda a, s: a + s["frac"])
     held = days.withColumn("w", 1.0 - gone).filter("w > 1e-9")
     own = over_time(order="bar_no")
     moves = grid.select("symbol", "bar_no", (ratio("close", F.lag("close").over(own)) - 1).alias("r"))
     j = held.join(moves, ["symbol", "bar_no"])
-    day = j.groupBy("bar_no").agg((F.coalesce(F.sum(F.col("w") * F.col("r")), F.lit(0.0)) / F.sum(F.when(F.col("r").isNotNull(), F.col("w")))).alias("ret"), F.count("*").alias("n_held"))
-    ends = trades.agg(F.min("entry_bar").alias("a"), F.max("exit_bar").alias("b"))
-    c = grid.select("bar_no", "date").distinct().crossJoin(ends).filter("bar_no between a and b").join(day, "bar_no", "left").drop("a", "b")
-    c = c.select("bar_no", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("n_held", F.lit(0)).alias("n_held"))
-    o = Window.orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
+    day = j.groupBy(*by, "bar_no").agg((F.coalesce(F.sum(F.col("w") * F.col("r")), F.lit(0.0)) / F.sum(F.when(F.col("r").isNotNull(), F.col("w")))).alias("ret"), F.count("*").alias("n_held"))
+    ends = trades.groupBy(*by).agg(F.min("entry_bar").alias("a"), F.max("exit_bar").alias("b"))
+    span = ends.withColumn("bar_no", F.explode(F.sequence("a", "b"))).select(*by, "bar_no").join(grid.select("bar_no", "date").distinct(), "bar_no")
+    c = span.join(day, [*by, "bar_no"], "left").select(*by, "bar_no", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("n_held", F.lit(0)).alias("n_held"))
+    o = Window.partitionBy(*by).orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
     return c.withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(o))).withColumn("drawdown", F.col("equity") / F.max("equity").over(o) - 1)
 
 
-def scaled_performance(curve: DataFrame) -> DataFrame:
+def scaled_performance(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
     """As a plain curve's, with the population deviation in the Sharpe ratio."""
     sd = F.stddev_pop("ret")
     last, n = F.max_by("equity", "bar_no"), F.count("*")
-    return curve.agg(
+    return curve.groupBy(*(by or [])).agg(
         (100 * (last - 1)).alias("total_return"), (100 * (F.pow(last, 252.0 / n) - 1)).alias("cagr"), (100 * F.min("drawdown")).alias("max_drawdown"),
         (F.avg("ret") / F.when(sd > 0, sd) * F.sqrt(F.lit(252.0))).alias("sharpe"), (100 * F.avg(F.when(F.col("n_held") > 0, 1.0).otherwise(0.0))).alias("in_market"),
     )
 
 
-def compared(acts_: DataFrame, grid: DataFrame, max_hold: int = 40) -> tuple[DataFrame, DataFrame]:
-    """The ladders over the same entries: a row each with the marks of the best, and their curves (``curve, date, equity``)."""
-    entries = ladder_entries(acts_, grid, max_hold)
-    rows, curves = [], []
+def ladder_trades(acts_: DataFrame, grid: DataFrame, max_hold: int = 40) -> DataFrame:
+    """The same entries sold by each ladder: one row for each ladder and trade."""
+    entries = settled(ladder_entries(acts_, grid, max_hold), "ladder-entries")
+    sales = None
     for ladder in LADDERS:
-        trades = scaled_trades(entries, schedule(entries, acts_, grid, ladder))
-        curve = scaled_curve(trades, grid)
-        stats = trades.agg(F.count("*").alias("n_trades"), F.avg("return_pct").alias("avg_return"), (100 * F.avg(F.when(F.col("return_pct") > 0, 1.0).otherwise(0.0))).alias("win_rate"))
-        rows.append(scaled_performance(curve).crossJoin(stats).withColumn("ladder", F.lit(ladder)))
-        curves.append(curve.select(F.lit(ladder).alias("curve"), "date", "equity"))
-    table, lines = rows[0], curves[0]
-    for r, c in zip(rows[1:], curves[1:], strict=True):
-        table, lines = table.unionByName(r), lines.unionByName(c)
+        part = schedule(entries, acts_, grid, ladder).withColumn("ladder", F.lit(ladder))
+        sales = part if sales is None else sales.unionByName(part)
+    return settled(scaled_trades(entries, sales, ["ladder"]), "ladder-trades")
+
+
+def compared(acts_: DataFrame, grid: DataFrame, max_hold: int = 40) -> tuple[DataFrame, DataFrame]:
+    """The ladders over the same entries: a row each with the marks of the best, and their curves (``ladder, date, equity``)."""
+    trades = ladder_trades(acts_, grid, max_hold)
+    curve = scaled_curve(trades, grid, ["ladder"])
+    stats = trades.groupBy("ladder").agg(F.count("*").alias("n_trades"), F.avg("return_pct").alias("avg_return"), (100 * F.avg(F.when(F.col("return_pct") > 0, 1.0).otherwise(0.0))).alias("win_rate"))
+    table = scaled_performance(curve, ["ladder"]).join(stats, "ladder")
     whole = Window.partitionBy()
     best = {f"best_{n}": F.col(n) == F.max(n).over(whole) for n in ("total_return", "max_drawdown", "sharpe")}
-    return table.withColumns(best), lines
+    return table.withColumns(best), curve.select("ladder", "date", "equity")
 
 
 def walk_forward(records: DataFrame, n_bars: Column | int, folds: int = 4, least: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -343,9 +349,9 @@ def backtest_report(calls: DataFrame, grid: DataFrame, benchmark: DataFrame, con
     """Everything about one panel of calls: events, studies, trades, curve, contributions, portfolio, ladders."""
     from . import backtest
 
-    a = acts(calls, grid, LAG_DAYS[interval])
+    a = settled(acts(calls, grid, LAG_DAYS[interval]), "acts")
     moves = backtest.forward_returns(a.withColumnRenamed("bar_no", "entry_bar").drop("last_bar"), grid, benchmark)
-    trades = simulated(candidates(a, grid), grid, config)
+    trades = settled(simulated(candidates(a, grid), grid, config), "trades")
     curve = backtest.equity_curve(trades, grid, grid.select("date", "bar_no").distinct())
     table, lines = compared(a, grid, exit_config(config)["max_hold"])
     return {

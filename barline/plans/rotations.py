@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import backtest, books, ladders, rankings, series
 from ..sources import bars as B
+from ..sources.store import session_store
 from .chains import _CALLS, plain_calls
 from .models import _MK, _grid
 from .registry import query, rounded
@@ -30,7 +33,7 @@ _SIM = """ce AS (SELECT *, least(entry_bar + 40, last_bar) AS hard, greatest(lea
 
 def _acts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     g = _grid(spark, sf)
-    return ladders.acts(plain_calls(spark, sf), g, 4), g
+    return session_store(spark).once(f"acts-{hashlib.md5(sf.encode()).hexdigest()[:12]}", lambda: ladders.acts(plain_calls(spark, sf), g, 4)), g
 
 
 def _simulated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -118,13 +121,8 @@ _LAD = """le AS (SELECT cd.*, least(entry_bar + 40, coalesce(n.nb - 1, last_bar)
 @query("b26_ladders", f"{_NB}, {_ON}, {_LAD} SELECT ladder, symbol, entry_bar, exit_bar, {_r('return_pct', 5)} AS return_pct FROM sc")
 def ladder_trades(spark: SparkSession, sf: str) -> DataFrame:
     """The same entries sold by four ladders."""
-    a, g = _acts(spark, sf)
-    e = ladders.ladder_entries(a, g, 40)
-    out = None
-    for name in ladders.LADDERS:
-        part = ladders.scaled_trades(e, ladders.schedule(e, a, g, name)).select(F.lit(name).alias("ladder"), "symbol", "entry_bar", "exit_bar", "return_pct")
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, 5)
+    t = ladders.ladder_trades(*_acts(spark, sf))
+    return rounded(t.select("ladder", "symbol", "entry_bar", "exit_bar", "return_pct"), 5)
 
 
 _SCURVE = """wd AS (SELECT ladder, symbol, steps, unnest(range(entry_bar + 1, exit_bar + 1)) AS bar_no FROM sc), wh AS (SELECT ladder, symbol, bar_no, 1 - coalesce(list_sum([s.f FOR s IN steps IF s.b < bar_no]), 0) AS w FROM wd), rr AS (SELECT symbol, bar_no, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_no) - 1 AS r FROM gr),

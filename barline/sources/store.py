@@ -103,6 +103,13 @@ def session_store(spark: SparkSession) -> Store:
     return Store(spark, _STORES[app])
 
 
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the application's store and read back: what follows uses them many times."""
+    store, table = session_store(rows.sparkSession), f"settled/{name}-{uuid.uuid4().hex[:12]}"
+    store.replace(table, rows)
+    return store.read(table)
+
+
 def conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows in a newer schema: new columns NULL, types cast, unknown columns dropped."""
     have = set(rows.columns)

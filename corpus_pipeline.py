@@ -63,7 +63,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.n_staged()
     for name, stage in STAGES:
         docs = common.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.discard(spark, begun)  # the steps inside the stage and the stage before are not read again
     return docs
