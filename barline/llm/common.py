@@ -77,13 +77,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 _staged: list[str] = []
 
 
-def discard(spark: SparkSession, last: int = 1) -> None:
-    """Delete the steps written so far but for the ``last`` ones: for a caller that reads no others any more."""
-    keep = len(_staged) - last
-    for path in _staged[:keep]:
+def n_staged() -> int:
+    return len(_staged)
+
+
+def discard(spark: SparkSession, since: int, last: int = 1) -> None:
+    """Delete the steps written after the first ``since`` but for the ``last`` ones: for a caller that reads no others of them any more."""
+    gone = _staged[since : len(_staged) - last]
+    for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _staged[:keep]
+    del _staged[since : since + len(gone)]
 
 
 def trim() -> None:
