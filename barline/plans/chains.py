@@ -309,7 +309,7 @@ def market_health(spark: SparkSession, sf: str) -> DataFrame:
 _VOTES = f"""v1 AS (SELECT 'breadth' AS domain, CASE regime WHEN 'HEALTHY' THEN 1 WHEN 'DETERIORATING' THEN -1 ELSE 0 END AS direction, CASE WHEN regime = 'NEUTRAL' THEN 20 ELSE least(100, 40 + 18 * abs(score)) END::DOUBLE AS conviction, 30.0::DOUBLE AS weight, true AS ok FROM rs_),
   lc AS (SELECT * FROM ca WHERE date = (SELECT max(date) FROM ca)), v2 AS (SELECT 'rrg', sign(net)::INTEGER, round_even(least(100, abs(net) / greatest(1, n)), 1), 20.0::DOUBLE, true FROM (SELECT coalesce(sum(CASE WHEN call IN ('ROTATE IN', 'HOLD') THEN conviction WHEN call IN ('ROTATE OUT', 'AVOID') THEN -conviction END), 0) AS net, count(*) FILTER (call <> 'WATCH') AS n FROM lc)),
   lk AS (SELECT 'x' || symbol AS symbol, rank FROM pool QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
-  v3 AS (SELECT 'rankings', sign(s)::INTEGER, round_even(least(100, abs(s) * 1.4), 1), 15.0::DOUBLE, true FROM (SELECT avg(rank) FILTER (symbol IN ('xNATION_0', 'xNATION_1', 'xNATION_2', 'xNATION_3', 'xNATION_4')) - avg(rank) FILTER (symbol IN ('xNATION_5', 'xNATION_6', 'xNATION_7')) AS s FROM lk)),
+  v3 AS (SELECT 'rankings', coalesce(sign(s)::INTEGER, 0), CASE WHEN s IS NULL THEN 0 ELSE round_even(least(100, abs(s) * 1.4), 1) END, 15.0::DOUBLE, s IS NOT NULL FROM (SELECT avg(rank) FILTER (symbol IN ('xNATION_0', 'xNATION_1', 'xNATION_2', 'xNATION_3', 'xNATION_4')) - avg(rank) FILTER (symbol IN ('xNATION_5', 'xNATION_6', 'xNATION_7')) AS s FROM lk)),
   v4 AS (SELECT 'canslim', CASE WHEN k >= 3 OR top >= 65 THEN 1 ELSE 0 END, round_even(least(100.0, k * 11 + greatest(0, top - 50)), 1)::DOUBLE, 15.0::DOUBLE, true FROM (SELECT count(*) FILTER (p_size >= 45) AS k, max(p_size) + 25.0::DOUBLE AS top FROM (SELECT p_size FROM part ORDER BY p_partkey LIMIT 10))),
   ft AS (SELECT * FROM fs WHERE day = (SELECT max(day) FROM fs) AND classification = 'conviction' ORDER BY conviction DESC, notional DESC LIMIT 1), v5 AS (SELECT 'flow', CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END, round_even(least(100, conviction), 1), 10.0::DOUBLE, true FROM ft),
   v6 AS (SELECT 'news', -1, 28.0::DOUBLE, 12.0::DOUBLE, true),

@@ -465,3 +465,37 @@ def win_rate_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols whose win rates were not computed on or after the day."""
     done = _states(spark, sf).withColumn("status", F.lit("ok"))
     return B.stale(done, _symbols(spark, sf), "1998-07-01", "last_bar")
+
+
+@query("s22_sources", "SELECT * FROM (VALUES (0, 'bulk', true), (1, 'bulk', false), (2, 'files', false)) v(case_no, source, preferred)")
+def sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The source that is used, by what is available."""
+    cases = [("bulk", ["bulk", "files"]), ("paid", ["bulk", "files"]), (None, ["files"])]
+    return spark.createDataFrame([(k, *A.resolved(p, a, ("bulk", "files"))) for k, (p, a) in enumerate(cases)], "case_no int, source string, preferred boolean")
+
+
+@query("s47_day_cache", "SELECT * FROM (VALUES ('2024-01-02', 'kept'), ('2024-01-03', 'made')) v(day, text)")
+def day_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """A text is made once a day and read back after that."""
+    store, made = S.session_store(spark), []
+
+    def brief(day: str, text: str) -> str:
+        if store.get(f"brief-{day}") is None:
+            store.set(f"brief-{day}", {"text": text})
+        return store.get(f"brief-{day}")["text"]
+
+    made.append(("2024-01-02", brief("2024-01-02", "kept")))
+    brief("2024-01-02", "ignored")
+    made[0] = ("2024-01-02", brief("2024-01-02", "ignored again"))
+    made.append(("2024-01-03", brief("2024-01-03", "made")))
+    return spark.createDataFrame(made, "day string, text string")
+
+
+@query("s20_history", "SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close FROM orders GROUP BY ALL")
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories written as files and read through the adapter, without the rows that have no close."""
+    o = B.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("close"))
+    gaps = o.limit(20).withColumn("close", F.lit(float("nan"))).withColumn("date", F.lit("1990-01-01").cast("date"))
+    store = S.session_store(spark)
+    store.replace("history", o.unionByName(gaps))
+    return A.clean_bars(store.read("history"))

@@ -229,3 +229,46 @@ def bundle(legs: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> dic
         except AnalysisException:
             out[name] = (spark.createDataFrame([], "date date"), False)
     return out
+
+
+#: What each kind of option source can tell.
+CAPABILITIES = {"chains": {"tier": "snapshot", "aggressor": "estimated"}, "tape": {"tier": "paid", "aggressor": "reported"}}
+
+
+def resolved(preferred: str | None, available: list[str], order: tuple[str, ...]) -> tuple[str, bool]:
+    """The preferred source if it is there, else the first of ``order`` that is; and whether it is the preferred one."""
+    if preferred in available:
+        return str(preferred), True
+    for name in order:
+        if name in available:
+            return name, False
+    raise LookupError(f"none of {', '.join(order)} is available")
+
+
+class Pace:
+    """Spaces calls evenly: ``wait`` tells how long to wait before the next one."""
+
+    def __init__(self, per_minute: int) -> None:
+        self.gap, self.next = 60.0 / per_minute, 0.0
+
+    def wait(self, now: float) -> float:
+        delay = max(0.0, self.next - now)
+        self.next = max(now, self.next) + self.gap
+        return delay
+
+
+def history(spark: SparkSession, paths: list[str], attempts: int = 3) -> DataFrame:
+    """Price histories that lie in files, one row a bar; a path that cannot be read is tried again."""
+    for attempt in range(attempts):
+        try:
+            return clean_bars(spark.read.parquet(*paths))
+        except AnalysisException:
+            if attempt + 1 == attempts:
+                raise
+    raise ValueError("no attempt")
+
+
+def clean_bars(rows: DataFrame) -> DataFrame:
+    """Prices without NaN and infinities, rows without a close dropped, one row for each symbol and date."""
+    numbers = {n: clean(n) for n, t in rows.dtypes if t == "double"}
+    return rows.withColumns(numbers).filter("close is not null").dropDuplicates(["symbol", "date"])

@@ -30,9 +30,14 @@ def column(df, name):
     return [r[name] for r in df.orderBy("date").select(name).collect()]
 
 
-def test_average_equals_pandas_with_gaps():
+def test_average_equals_the_recursion_with_gaps():
     x = np.array([np.nan, 1.0, 2.0, np.nan, np.nan, 5.0, 4.0, np.nan, 3.0])
-    want = pd.Series(x).ewm(alpha=0.3, adjust=False, min_periods=2).mean().to_numpy()
+    want, value, old, seen = [], np.nan, 1.0, 0
+    for v in x:
+        old *= 0.7 if seen else 1.0
+        if v == v:
+            value, old, seen = (v if not seen else (old * value + 0.3 * v) / (old + 0.3)), 1.0, seen + 1
+        want.append(value if seen >= 2 else np.nan)
     np.testing.assert_allclose(average(x, 0.3, 2), want, rtol=1e-12)
 
 

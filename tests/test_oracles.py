@@ -10,10 +10,9 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 NAMES = (
-    ["s9_membership", "s12_sync_states", "s7_replaced_parts", "s14_partial_upsert", "s16_stale", "s17_ownership", "s19_constituents", "s24_backfill", "s18_html_table", "s37_feed", "s45_watchlist", "s32_contracts", "s59_persisted"]
-    + ["f1_scan", "f5_members", "f7_flow_feed", "j1_frame", "j10_shifted", "j18_contexts", "j21_overlay", "h5_csv", "t2_sweep_alerts", "t5_confirmations", "t9_live_rows", "k13_alerts", "k15_alert_pass"]
-    + ["c8_flag_events", "c16_profile_reads", "d8_divergences", "d10_regime_state", "g7_turning_scores", "r11_percentiles", "k11_picks", "k19_indicators", "k21_features", "k26_votes"]
-    + ["b4_atr_trades", "b21_rotation_trades", "b25_portfolio", "b26_ladders", "b30_recommended", "b31_harness_calls", "b36_gap_marks"]
+    ["s9_membership", "s12_sync_states", "s7_replaced_parts", "s14_partial_upsert", "s17_ownership", "s19_constituents", "s18_html_table", "s45_watchlist", "s32_contracts"]
+    + ["f1_scan", "f7_flow_feed", "j1_frame", "j10_shifted", "j21_overlay", "h5_csv", "t2_sweep_alerts", "t5_confirmations", "k13_alerts"]
+    + ["c8_flag_events", "c16_profile_reads", "d8_divergences", "r11_percentiles", "k11_picks", "k26_votes", "b4_atr_trades", "b21_rotation_trades", "b26_ladders"]
 )
 
 
