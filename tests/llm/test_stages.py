@@ -189,3 +189,28 @@ def test_pipeline_edges(spark):
         if name != "sharding" and name != "mixing":
             assert not as_rows(docs) - as_rows(given)
     assert docs.columns == [*given.columns, "shard_", "generation_", "shard_docs", "shard_bytes"] and docs.count() == given.count() > 0
+
+
+def test_classifier_fit_against_brute_force(spark):
+    import numpy as np
+
+    from barline.llm import classifier as K
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 17)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(size=240) > 0.5).astype(float)
+    rows = [(bytearray(r.tobytes()), float(v)) for r, v in zip(x, y, strict=True)]
+    got = K.fit(spark.createDataFrame(rows, "x binary, y double").repartition(5))
+    wide = x.astype(float)
+    want = K.Model(wide.mean(0), wide.std(0) + 1e-6)
+    z = want.phi(wide)
+    theta = np.linalg.solve(z.T @ z + K.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    np.testing.assert_allclose(got.phi(wide) @ got.theta, z @ theta, atol=1e-6)
+    # isotonic calibration: the largest of the least means of all ranges that hold a bin
+    at = np.clip(((z @ theta - K.LOW) / (K.HIGH - K.LOW) * K.BINS).astype(int), 0, K.BINS - 1)
+    some = np.unique(at)
+    n, s = np.array([(at == k).sum() for k in some]), np.array([y[at == k].sum() for k in some])
+    mean = lambda a, b: s[a : b + 1].sum() / n[a : b + 1].sum()
+    brute = [max(min(mean(a, b) for b in range(i, len(some))) for a in range(i + 1)) for i in range(len(some))]
+    np.testing.assert_allclose(got.steps[1], brute, atol=1e-9)
+    assert K.fit(spark.createDataFrame([], "x binary, y double")) is None
