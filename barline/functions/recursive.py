@@ -27,7 +27,7 @@ def span(n: int) -> float:
 def averages(
     df: DataFrame, specs: Sequence[tuple[str, str, float, int]], key: str | Sequence[str] = "symbol", order: str = "date"
 ) -> DataFrame:
-    """Adds the averages ``(name, input column, alpha, least)`` per ``key`` in ``order``."""
+    """Adds the averages ``(name, input column, alpha, least)`` per ``key`` in ``order``."""
     keys = [key] if isinstance(key, str) else list(key)
     schema = T.StructType([*df.schema.fields, *(T.StructField(s[0], T.DoubleType()) for s in specs)])
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import breadth, desk, feeds, macro, rankings, rotation, scores, series, votes, wave
 from ..sources import bars as B
-from ..sources.store import union_all
+from ..sources.store import session_store, union_all
 from .desk import _FLOW, _flow, _pick
 from .models import _COMP, _MK, _POOL, _RRG
 from .registry import query, rounded
@@ -20,7 +22,9 @@ from .windows import _AGG, _DER, _NB, _r
 
 
 def _days(spark: SparkSession, sf: str) -> DataFrame:
-    return breadth.derived(breadth.aggregates(B.nation_bars(spark, sf)))
+    """Breadth and its chains, recomputed once in an application and kept as a derived table."""
+    name = f"breadth-{hashlib.md5(sf.encode()).hexdigest()[:12]}"
+    return session_store(spark).once(name, lambda: breadth.derived(breadth.aggregates(B.nation_bars(spark, sf))))
 
 
 @query(
@@ -187,12 +191,19 @@ def theme_leaders(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rankings.theme_leaders(b, themes).select("theme", "symbol", "move", "place"))
 
 
-@query("r10_theme_board")
+@query(
+    "r10_theme_board",
+    f"""WITH {bars('nation', name='nb')}, {_MK}, tr AS (SELECT sector, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM nb), td AS (SELECT sector, date, coalesce(avg(r), 0) AS ret FROM tr GROUP BY ALL),
+    bars AS (SELECT sector AS symbol, sector, date, 100 * exp(sum(ln(1 + ret)) OVER (PARTITION BY sector ORDER BY date)) AS close FROM td), {_COMP}, {_POOL}, k AS (SELECT symbol, rank, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM pool),
+    m AS (SELECT symbol, 100 * (close / lag(close, 5) OVER {over()} - bench / lag(bench, 5) OVER {over()}) AS rs_1w, 100 * (close / max(close) OVER {over(252)} - 1) AS off_high, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM q)
+    SELECT m.symbol AS symbol, {_r('rs_1w', 4)} AS rs_1w, {_r('off_high', 4)} AS off_high, rank FROM m LEFT JOIN k ON k.symbol = m.symbol AND k.k = 1 WHERE m.k = 1""",
+)
 def theme_board(spark: SparkSession, sf: str) -> DataFrame:
-    """The leaderboard with baskets in the place of symbols (checked through A10 and R4)."""
+    """The leaderboard with baskets in the place of symbols."""
     b = B.nation_bars(spark, sf)
     themes = b.groupBy(F.col("sector").alias("theme")).agg(F.collect_set("symbol").alias("symbols"))
-    return rounded(rankings.leaderboard(rankings.baskets(b, themes).select(F.col("theme").alias("symbol"), "date", "close"), B.market_bars(spark, sf)))
+    board = rankings.leaderboard(rankings.baskets(b, themes).select(F.col("theme").alias("symbol"), "date", "close"), B.market_bars(spark, sf))
+    return rounded(board.select("symbol", "rs_1w", "off_high", "rank"), 4)
 
 
 _PARTS = "pt AS (SELECT p_partkey AS symbol, p_brand AS list, CASE WHEN p_size % 4 > 0 THEN p_size::DOUBLE END AS rs, p_retailprice AS float_ FROM part)"

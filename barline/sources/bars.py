@@ -79,7 +79,7 @@ def series(bars: DataFrame, symbol: str, start: str | None = None, columns: tupl
 
 
 def panel(bars: DataFrame, symbols: DataFrame, start: str | None = None) -> DataFrame:
-    """Rows of the listed symbols (long, never pivoted)."""
+    """Rows of the listed symbols (long, never pivoted)."""
     out = bars.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
     return out.filter(F.col("date") >= F.lit(start).cast("date")) if start else out
 
