@@ -161,7 +161,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     return C.stage(sent.mapInArrow(C.light(run), "file string, n_records long, n_bytes long"), "warc-files")
 
 
-_MAGIC = b"\x1f\x8b\x08"
+_MAGIC, _PIECE = b"\x1f\x8b\x08", 16 << 10
 
 
 def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
@@ -169,21 +169,23 @@ def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
 
     After a damaged member the search goes on at the next one's first bytes.
     """
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        d = zlib.decompressobj(31)
-        out, problem = b"", None
+        d, here, out, problem = zlib.decompressobj(31), at, [], None
         try:
-            out = d.decompress(data[at:])
+            while not d.eof and here < len(data):  # in pieces, so that what follows the member is not copied whole
+                piece = view[here : here + _PIECE]
+                here += len(piece)
+                out.append(d.decompress(piece))
             problem = None if d.eof else "file ends inside the record"
         except zlib.error:
             problem = "damaged record"
         if problem is None:
-            at = len(data) - len(d.unused_data)
+            at = here - len(d.unused_data)
         else:
             following = data.find(_MAGIC, at + 3)
             at = following if following > 0 else len(data)
-        yield out, problem
+        yield b"".join(out), problem
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, str | None]:
