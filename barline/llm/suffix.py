@@ -258,6 +258,8 @@ def _ties(table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(p) for p in parts])
     bits = [np.packbits(flags[e - len(p) : e]).tobytes() if flags[e - len(p) : e].any() else None for p, e in zip(parts, ends, strict=True)]
     some = [k for k, b in enumerate(bits) if b is not None]
+    del keys, flags, parts
+    C.trim()
     return pa.table(
         {
             "kind": pa.array([kind] * len(some), pa.int32()),
@@ -281,7 +283,9 @@ def _with_replies(blocks: DataFrame, replies: DataFrame, shift: int, use: Callab
         if not left.num_rows:
             return empty
         told = {(r["kind"], r["bucket"]): r["bits"] for r in right.to_pylist()}
-        return use(Block(left.to_pylist()[0], shift), told)
+        out = use(Block(left.to_pylist()[0], shift), told)
+        C.trim()
+        return out
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
@@ -315,7 +319,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_t
         return out
 
     C.release(spark)
-    first = settle(blocks.mapInArrow(ask, _KEYS))
+    first = settle(blocks.mapInArrow(C.light(ask), _KEYS))
     second = settle(_with_replies(blocks, first, shift, lambda b, told: _rows(b.second(told)), _KEYS))
     schema = _OUT_TEXT if with_text else _OUT
     types = _arrow(schema)

@@ -83,6 +83,8 @@ def write_whole(uri: str, name: str, chunks: list[bytes]) -> None:
     store.move(own, f"{folder}/{name}")
 
 
+#: Bytes of text whose words are looked up together.
+TOGETHER = 2 << 20
 #: Words in one text of the tokenizer's.
 _LINE = 256
 _END_MARKS = ".,;:!?"
@@ -214,7 +216,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, ke
         index: list[bytes] = []
         at = n_docs = n_tokens = 0
         for batch in batches:
-            for a, b, buf, offs in C.slices(batch.column("text")):
+            for a, b, buf, offs in C.slices(batch.column("text"), TOGETHER):
                 for i, ids in zip(batch.column("id")[a:b].to_pylist(), encode(buf, offs), strict=True):
                     n_tokens += len(ids) // width + 1
                     body = struct.pack("<qBB", i or 0, i is None, width) + ids + last
