@@ -1,19 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval, then exact checks.
 
 1. One pass over all texts counts document frequencies of hashed terms (over
-   segments of ``STRIDE`` words) and keeps the ``SAMPLE`` passages with the
-   smallest hashes, a sample that does not depend on the partitioning.
-2. A distributed randomised SVD of the TF-IDF rows of all benchmark items
-   (weighted up, so that their span is kept) and of the sample gives one latent
-   basis: tasks sum ``A'(A G)`` and then ``(A Q)'(A Q)``, matrices of fixed size.
-3. A second pass projects every passage (``2 * STRIDE`` words, half overlapping)
-   and takes as candidates the items with a cosine of at least ``COSINE``.
+   segments of ``STRIDE`` words) and stores the terms of each text.
+2. A distributed randomised SVD of the TF-IDF rows of all passages (``2 * STRIDE``
+   words, half overlapping) of all texts and of all benchmark items (weighted up,
+   so that their span is kept) gives one latent basis: tasks sum ``A'(A G)``, a
+   matrix of fixed size, over the stored terms of all texts.
+3. A last pass projects every passage and takes as candidates the items with a
+   cosine of at least ``COSINE``.
 4. For a candidate, the longest common subsequence of the item's words with the
    passage and its surroundings, and the share of the item's answer words (its
    rarest third) that occur there, decide.
 
-The basis is an index fitted on a bounded sample; statistics, search and checks
-cover all rows.  Benchmark items are searched for in blocks of ``ITEMS``, so that
+Statistics, basis, search and checks cover all rows.  Benchmark items are searched for in blocks of ``ITEMS``, so that
 what is sent to the tasks has a fixed bound.  Words are compared in Unicode's case folding
 and without ASCII punctuation.
 
@@ -35,21 +34,23 @@ from pyspark.sql import functions as F
 from . import common as C
 
 TERMS, STRIDE = 1 << 15, 32
-SAMPLE, ITEM_WEIGHT = 4096, 8.0
+#: All passages together weigh as much in the basis as so many (fewer count as they are); an item's weight.
+PASSAGES, ITEM_WEIGHT = 4096, 8.0
 #: Items that are searched for in one pass: vectors and words of so many are about 32 MB.
 ITEMS = 16_384
 RANK, EXTRA, SEED = 192, 8, 11
 COSINE, LCS, ANSWER = 0.35, 0.7, 0.6
 _ADDERS, _SLICES, _TOGETHER, _CELLS = 8, 32, 64, 1 << 20
+#: Segments in one dense product of the fit, and segments (about 26 MB of text) to a task that makes a partial sum.
+_SPREAD, _FITTED = 64, 1 << 17
 
-_PLAIN = np.arange(256, dtype=np.uint8)
-_PLAIN[65:91] += 32
-_DROPPED = np.zeros(256, bool)
-_DROPPED[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LOWERED = bytes(range(256)).lower()  # A-Z only
+_IS_DROPPED = bytes(k in _PUNCTUATION for k in range(256))
 
 
 def folded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with other letters than ASCII in Unicode's case folding; ``_PLAIN`` does the rest.
+    """Rows with other letters than ASCII in Unicode's case folding; ``_LOWERED`` does the rest.
 
     Folding keeps the number of bytes in U+0080 to U+00FF (but for the micro sign)
     and changes nothing in U+2000 to U+203F; rows with other letters are folded as text.
@@ -83,9 +84,9 @@ def folded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each normalised word."""
     buf, offs = folded(buf, offs)
-    keep = ~_DROPPED[buf]
-    at = np.concatenate([[0], np.cumsum(keep)])
-    plain, offs = _PLAIN[buf[keep]], at[offs]
+    data = buf.tobytes()
+    gone = np.flatnonzero(np.frombuffer(data.translate(_IS_DROPPED), bool))
+    plain, offs = np.frombuffer(data.translate(_LOWERED, _PUNCTUATION), np.uint8), offs - np.searchsorted(gone, offs)
     starts, ends, rows = C.word_spans(plain, offs)
     return C.span_hash(C.prefix_hash(plain), starts, ends), rows
 
@@ -108,103 +109,151 @@ def _terms(h: np.ndarray) -> np.ndarray:
 
 
 def survey(docs: DataFrame, text: str) -> tuple[np.ndarray, int, DataFrame]:
-    """Document frequencies of the terms, number of segments, and the sampled passages (``h``, ``terms``)."""
+    """Document frequencies of the terms and the number of segments, over all texts, and the terms of each text (``terms``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(TERMS + _ADDERS, np.int64)  # the segments are counted in place TERMS
-        best = np.zeros(0, np.uint64)
-        kept: dict[int, bytes] = {}
         for batch in batches:
             for a, b, buf, offs in C.slices(batch.column("text")):
                 h, rows = words(buf, offs)
                 if not len(h):
                     continue
-                seg, seg_row, seg_at = segments(rows, b - a)
+                seg, seg_row, _ = segments(rows, b - a)
                 terms = _terms(h)
                 pairs = np.sort(seg * TERMS + terms)
                 pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
                 df[:TERMS] += np.bincount(pairs % TERMS, minlength=TERMS)
                 df[TERMS] += len(seg_row)
-                ends = np.append(seg_at[1:], len(h))
-                joined = np.append(seg_row[1:] == seg_row[:-1], False)
-                ends = np.where(joined, np.append(ends[1:], len(h)), ends)
-                mark = C.mix(np.bitwise_xor.reduceat(h, seg_at) + (ends - seg_at).astype(np.uint64))
-                bound = best[-1] if len(best) == SAMPLE else np.uint64(2**64 - 1)
-                for k in np.flatnonzero(mark < bound):
-                    kept[int(mark[k])] = terms[seg_at[k] : ends[k]].astype(np.uint16).tobytes()
-                best = np.sort(np.array(list(kept), np.uint64))[:SAMPLE]
-                if len(kept) > SAMPLE:
-                    kept = {int(x): kept[int(x)] for x in best}
+                cuts = (2 * np.searchsorted(rows, np.arange(b - a + 1))).astype(np.int32)
+                v = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cuts), pa.py_buffer(terms.astype(np.uint16))])
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(b - a, -1, np.int32)), "v": v})
         parts = [p.tobytes() for p in df.reshape(_ADDERS, -1)]
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(_ADDERS), pa.int32()), "h": pa.nulls(_ADDERS, pa.int64()), "v": parts})
-        ranked = sorted(kept)
-        yield pa.RecordBatch.from_pydict(
-            {"k": pa.array([-1] * len(ranked), pa.int32()), "h": pa.array([x - (1 << 63) for x in ranked], pa.int64()), "v": pa.array([kept[x] for x in ranked], pa.binary())}
-        )
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(_ADDERS), pa.int32()), "v": parts})
 
-    found = C.stage(docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(C.light(run), "k int, h long, v binary"), "survey")
+    found = C.stage(docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(C.light(run), "k int, v binary"), "survey")
     sums = C.vector_sums(found.filter("k >= 0"), np.int64)
     total = np.concatenate([sums[k] for k in range(_ADDERS)]) if sums else np.zeros(TERMS + _ADDERS, np.int64)
-    n = int(total[TERMS])
-    # Hashes are uniform: about twice the sample is under this bound, however many tasks there are.
-    bound = min(2**64, 2**65 * SAMPLE // max(n, 1)) - (1 << 63) - 1
-    sample = found.filter((F.col("k") < 0) & (F.col("h") <= F.lit(bound))).select("h", F.col("v").alias("terms")).dropDuplicates(["h"])
-    return total[:TERMS], n, sample.orderBy("h").limit(SAMPLE)
+    return total[:TERMS], int(total[TERMS]), found.filter("k < 0").select(F.col("v").alias("terms"))
 
 
-def _matrix(column: pa.Array, weights: list[float], idf: np.ndarray) -> np.ndarray:
-    """Dense TF-IDF rows of unit length (times their weight)."""
+class Passages:
+    """The passages of a slice: the segments of its words, and which segments make a passage with the next."""
+
+    def __init__(self, terms: np.ndarray, rows: np.ndarray, n_rows: int) -> None:
+        self.terms = terms
+        self.seg, self.seg_row, self.seg_at = segments(rows, n_rows)
+        self.joined = np.append(self.seg_row[1:] == self.seg_row[:-1], False)
+
+    def projected(self, scaled: np.ndarray) -> np.ndarray:
+        """Sums of the rows of ``scaled`` (the last one zeros) over each passage's words."""
+        n = len(self.seg_at)
+        slots = np.full((n, STRIDE), TERMS, np.int32)  # the row of zeros where a segment is short
+        slots[self.seg, np.arange(len(self.seg)) - self.seg_at[self.seg]] = self.terms
+        sums = np.empty((n, scaled.shape[1]), np.float32)
+        gathered = np.empty((_TOGETHER * STRIDE, scaled.shape[1]), np.float32)
+        for k in range(0, n, _TOGETHER):  # so many segments' rows stay in a core's cache
+            part = slots[k : k + _TOGETHER]
+            taken = gathered[: part.size]
+            np.take(scaled, part.ravel(), axis=0, out=taken, mode="clip")
+            taken.reshape(len(part), STRIDE, -1).sum(axis=1, out=sums[k : k + len(part)])
+        passage = sums.copy()
+        passage[self.joined] += sums[1:][self.joined[:-1]]
+        return passage
+
+    def squares(self, idf: np.ndarray) -> np.ndarray:
+        """Squared length of each passage's TF-IDF row."""
+        second = np.append(False, self.joined[:-1])[self.seg]  # words that the passage before holds too
+        pairs = np.concatenate([self.seg * TERMS + self.terms, (self.seg[second] - 1) * TERMS + self.terms[second]])
+        pairs.sort()
+        head = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        times = np.diff(np.append(head, len(pairs)))
+        pairs = pairs[head]
+        return np.bincount(pairs // TERMS, weights=(times * idf[pairs % TERMS]) ** 2.0, minlength=len(self.seg_at))
+
+    def spread(self, y: np.ndarray, total: np.ndarray) -> None:
+        """Add each passage's row of ``y`` to the rows of ``total`` of its words."""
+        z = y.copy()
+        z[1:][self.joined[:-1]] += y[:-1][self.joined[:-1]]
+        for k in range(0, len(z), _SPREAD):  # few segments have few terms: a small dense product
+            part = z[k : k + _SPREAD]
+            a = self.seg_at[k]
+            b = self.seg_at[k + _SPREAD] if k + _SPREAD < len(z) else len(self.seg)
+            own, at = np.unique(self.terms[a:b], return_inverse=True)
+            times = np.zeros(len(part) * len(own), np.float32)
+            np.add.at(times, (self.seg[a:b] - k) * len(own) + at, np.float32(1))
+            total[own] += times.reshape(len(part), -1).T @ part
+
+
+def _matrix(column: pa.Array, weight: float, idf: np.ndarray) -> np.ndarray:
+    """Dense TF-IDF rows of length ``weight``."""
     out = np.zeros((len(column), TERMS), np.float32)
     for k, t in enumerate(column):
         terms = np.frombuffer(t.as_py(), np.uint16)
         np.add.at(out[k], terms, idf[terms])
         norm = np.linalg.norm(out[k])
         if norm:
-            out[k] *= weights[k] / norm
+            out[k] *= weight / norm
     return out
 
 
-def basis(rows: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF rows (``terms``, ``weight``) by a randomised SVD."""
+def basis(texts: DataFrame, own: DataFrame, n_own: int, idf: np.ndarray, n: int, rank: int) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF rows of all ``n`` passages and of the ``n_own`` items by a randomised SVD.
+
+    ``texts`` and ``own`` have the ``terms`` of a text or item.  With ``Y = A'(A G)``, ``Y (G'Y)^-1 Y'`` is close to
+    ``A'A`` (the Nystroem form of the randomised SVD), so one pass gives the vectors.
+    """
     width = rank + EXTRA
     idf = idf.astype(np.float32)
+    share = min(1.0, PASSAGES / max(n, 1))  # the square of a passage's weight
+    # A partial sum is a matrix, so a task makes one of many passages.
+    tasks = min(-(-max(n, 1) // _FITTED), max(64, 4 * texts.sparkSession.sparkContext.defaultParallelism))
 
-    def summed(project: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                for a in range(0, batch.num_rows, 128):
-                    part = batch.slice(a, 128)
-                    got = project(_matrix(part.column("terms"), part.column("weight").to_pylist(), idf)) if part.num_rows else None
-                    if got is not None:
-                        total = got if total is None else total + got
-            if total is not None:
-                parts = total.astype(np.float32).reshape(_SLICES, -1)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(range(_SLICES), pa.int32()), "v": [p.tobytes() for p in parts]})
-
-        # Summed slice by slice on the executors: the driver gets one matrix, however many tasks there are.
-        found = C.vector_sums(rows.mapInArrow(C.light(run), "k int, v binary"), np.float32)
-        return np.concatenate([found.pop(k) for k in range(_SLICES)]) if found else None
-
-    def first(a: np.ndarray) -> np.ndarray:
-        g = np.random.default_rng(SEED).standard_normal((TERMS, width), np.float32)
-        return a.T @ (a @ g)
-
-    z = summed(first)
-    if z is None:
-        return np.zeros((TERMS, 1), np.float32)
-    q = np.linalg.qr(z.reshape(TERMS, width))[0]
-    del z
-    sent = rows.sparkSession.sparkContext.broadcast(q)  # TERMS x width floats, whatever the input
+    def start() -> np.ndarray:
+        return np.random.default_rng(SEED).standard_normal((TERMS, width), np.float32)
 
-    def second(a: np.ndarray) -> np.ndarray:
-        b = a @ sent.value
-        return b.T @ b
+    def cut(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            parts = (total * idf[:, None]).reshape(_SLICES, -1)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(range(_SLICES), pa.int32()), "v": [p.tobytes() for p in parts]})
 
-    gram = summed(second).reshape(width, width).astype(np.float64)
-    values, vectors = np.linalg.eigh(gram)
-    sent.unpersist()
-    return q @ vectors[:, np.argsort(-values)[:rank]].astype(np.float32)
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, scaled = None, None
+        for batch in batches:
+            for a, b, buf, offs in C.slices(batch.column("terms"), 1 << 18):
+                if not len(buf):
+                    continue
+                if total is None:
+                    total, scaled = np.zeros((TERMS, width), np.float32), np.zeros((TERMS + 1, width), np.float32)
+                    np.multiply(start(), idf[:, None], out=scaled[:TERMS])
+                found = Passages(buf.view(np.uint16).astype(np.int32), np.repeat(np.arange(b - a), np.diff(offs) // 2), b - a)
+                y = found.projected(scaled)
+                y *= (share / found.squares(idf)).astype(np.float32)[:, None]
+                found.spread(y, total)
+        yield from cut(total)
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                rows = _matrix(batch.slice(a, 128).column("terms"), ITEM_WEIGHT, idf)
+                got = rows.T @ (rows @ start()) / idf[:, None]
+                total = got if total is None else total + got
+        yield from cut(total)
+
+    # Summed slice by slice on the executors: the driver gets one matrix, however many tasks there are.
+    kinds, items = "k int, v binary", own.repartition(max(1, -(-n_own // ITEMS)))
+    found = C.vector_sums(texts.coalesce(tasks).mapInArrow(C.light(of_texts), kinds).unionByName(items.mapInArrow(C.light(of_items), kinds)), np.float32)
+    if not found:
+        return np.zeros((TERMS, 1), np.float32)
+    y = np.concatenate([found.pop(k) for k in range(_SLICES)]).reshape(TERMS, width)
+    inner = start().T.astype(np.float64) @ y
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    kept = values > values[-1] * 1e-6  # fewer texts than columns
+    half = y @ (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)  # half half' is close to A'A
+    del y
+    values, vectors = np.linalg.eigh((half.T @ half).astype(np.float64))
+    top = [k for k in np.argsort(-values)[:rank] if values[k] > values[-1] * 1e-6]
+    return np.linalg.qr(half @ (vectors[:, top] / np.sqrt(values[top])).astype(np.float32))[0]
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -239,6 +288,30 @@ class Items:
             self.answers.append({int(h[k]) for k in rare})
             vectors.append(vector / max(np.linalg.norm(vector), 1e-9))
         self.vectors = np.array(vectors, np.float32).reshape(len(self.ids), v.shape[1])
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.asked = np.array([len(x) for x in self.answers], np.int64)
+        # Which items have a word among their answer words: ``holders[first[k] : first[k + 1]]`` for ``known[k]``.
+        words_of = np.array([x for held in self.answers for x in held], np.uint64)
+        order = np.argsort(words_of, kind="stable")
+        self.holders = np.repeat(np.arange(len(self.ids)), self.asked)[order]
+        self.known, first = np.unique(words_of[order], return_index=True)
+        self.first = np.append(first, len(words_of))
+
+    def answerable(self, h: np.ndarray, items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which of the candidates can have enough answer words: whether ``h[lo:hi]`` holds so many, repeats counted."""
+        start, end = int(lo.min()), int(hi.max())
+        at = np.minimum(np.searchsorted(self.known, h[start:end]), len(self.known) - 1)
+        where = np.flatnonzero(self.known[at] == h[start:end])
+        at = at[where]
+        times = self.first[at + 1] - self.first[at]
+        n = int(times.sum())
+        if n > _CELLS:  # words of very many items: the exact check alone decides
+            return np.ones(len(items), bool)
+        nth = np.arange(n) - np.repeat(np.cumsum(times) - times, times)
+        size = len(h) + 1
+        places = np.sort(self.holders[np.repeat(self.first[at], times) + nth] * size + np.repeat(where + start, times))
+        held = np.searchsorted(places, items * size + hi) - np.searchsorted(places, items * size + lo)
+        return held / self.asked[items] >= ANSWER
 
 
 def search(docs: DataFrame, items: Items, idf: np.ndarray, v: np.ndarray, key: str, text: str) -> DataFrame:
@@ -252,38 +325,29 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, v: np.ndarray, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scaled = sent.value
-        gathered = np.empty((_TOGETHER * STRIDE, scaled.shape[1]), np.float32)
         for batch in batches:
             out: list[dict] = []
             for a, b, buf, offs in C.slices(batch.column("text"), 1 << 19):
                 h, rows = words(buf, offs)
-                if not len(h):
+                if not len(h) or not own.ids:
                     continue
-                seg, seg_row, seg_at = segments(rows, b - a)
-                slots = np.full((len(seg_at), STRIDE), TERMS, np.int32)  # the row of zeros where a segment is short
-                slots[seg, np.arange(len(h)) - seg_at[seg]] = _terms(h)
-                sums = np.empty((len(seg_at), scaled.shape[1]), np.float32)
-                for k in range(0, len(seg_at), _TOGETHER):  # so many segments' rows stay in a core's cache
-                    part = slots[k : k + _TOGETHER]
-                    taken = gathered[: part.size]
-                    np.take(scaled, part.ravel(), axis=0, out=taken, mode="clip")
-                    taken.reshape(len(part), STRIDE, -1).sum(axis=1, out=sums[k : k + len(part)])
-                joined = np.append(seg_row[1:] == seg_row[:-1], False)
-                passage = sums.copy()
-                passage[joined] += sums[1:][joined[:-1]]
+                found = Passages(_terms(h), rows, b - a)
+                ends = np.searchsorted(rows, np.arange(b - a + 1))
+                passage = found.projected(scaled)
                 norm = np.linalg.norm(passage, axis=1)
                 best: dict[tuple[int, int], dict] = {}
                 step = max(1, min(4096, _CELLS // max(1, len(own.ids))))
                 for k in range(0, len(passage), step):
                     cos = passage[k : k + step] @ own.vectors.T / np.maximum(norm[k : k + step], 1e-9)[:, None]
-                    for p, i in zip(*np.nonzero(cos >= COSINE), strict=True):
-                        s, want = int(seg_at[k + p]), own.words[i]
-                        row = int(seg_row[k + p])
-                        lo = s
-                        while lo > 0 and s - lo < len(want) and rows[lo - 1] == row:
-                            lo -= 1
-                        hi = min(len(h), s + 2 * STRIDE + len(want))
-                        hi = lo + int(np.searchsorted(rows[lo:hi], row, side="right"))
+                    at, items = np.nonzero(cos >= COSINE)
+                    if not len(at):
+                        continue
+                    s, held = found.seg_at[k + at], found.seg_row[k + at]
+                    first = np.maximum(ends[held], s - own.lengths[items])
+                    last = np.minimum(ends[held + 1], s + 2 * STRIDE + own.lengths[items])
+                    chosen_at = np.flatnonzero(own.answerable(h, items, first, last))
+                    for p, i, row, lo, hi in zip(*(x[chosen_at].tolist() for x in (at, items, held, first, last)), strict=True):
+                        want = own.words[i]
                         near = h[lo:hi].tolist()
                         answer = len(own.answers[i].intersection(near)) / len(own.answers[i])
                         if answer < ANSWER:
@@ -311,20 +375,20 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, rows = words(buf, offs)
             cuts = np.searchsorted(rows, np.arange(len(offs)))
             terms += [_terms(h[a:b]).astype(np.uint16).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-        yield pa.RecordBatch.from_pydict({"terms": pa.array(terms, pa.binary()), "weight": pa.array([ITEM_WEIGHT] * len(terms), pa.float64())})
+        yield pa.RecordBatch.from_pydict({"terms": pa.array(terms, pa.binary())})
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents and the benchmark items that they contain, exactly or in other words."""
     C.bounded(docs.sparkSession)
-    df, n, sample = survey(docs, text)
+    df, n, texts = survey(docs, text)
     idf = np.log((1.0 + n) / (1.0 + df))
     idf = np.maximum(idf, 1e-3)
     known = C.stage(benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("binary").alias("t")).distinct(), "items")
-    own = known.select("t").mapInArrow(C.light(_item_terms), "terms binary, weight double")
-    fitted = own.unionByName(sample.select("terms", F.lit(1.0).alias("weight"))).repartition(_ADDERS)
-    v = basis(C.stage(fitted, "fit"), idf, RANK)  # one basis, whatever the number of items
-    blocks = max(1, -(-known.count() // ITEMS))
+    n_items = known.count()
+    own = known.select("t").mapInArrow(C.light(_item_terms), "terms binary")
+    v = basis(texts, own, n_items, idf, n, RANK)  # one basis, whatever the number of items
+    blocks = max(1, -(-n_items // ITEMS))
     block = F.pmod(F.xxhash64("item", "t"), F.lit(blocks))
     found = None
     for k in range(blocks):
