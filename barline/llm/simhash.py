@@ -20,15 +20,17 @@ that holds more than ``HOT`` fingerprints is split by the other segment: within
 the result is still exact.  Components come from alternating large-star and
 small-star steps, each written to the shared folder.
 
-Near duplicates (``keep_one``) do not use fingerprints but the sets of shingle
-hashes themselves.  Shingles have one order for all documents: by how often
-their bucket of ``SKETCH`` occurs, then by hash.  Two sets whose Jaccard
-similarity is at least p/q share one of the first n - ceil(n p/q) + 1 shingles of
-each (prefix filter), so no pair is lost; where they first meet, what is left
-bounds their overlap, and the exact similarity of the whole sets decides.  Only
-components are wanted, so each shingle first compares its documents with one of
-them, a different one each time; then all pairs there that are not yet in one
-component are compared.
+Near duplicates (``keep_one``) are the pairs whose sets of shingle hashes have at
+least a given Jaccard similarity, exactly.  Fingerprints meet at anchors as above,
+and the exact similarity of the whole sets decides on each link.  Similar texts
+may differ in more than 2 bits, so what is not in one component by then is looked
+for by the shingles themselves.  They have one order for all documents: by how
+often their bucket of ``SKETCH`` occurs, then by hash.  Two sets whose similarity is
+at least p/q share one of the first n - ceil(n p/q) + 1 shingles of each (prefix
+filter), so no pair is lost; where they first meet, what is left bounds their
+overlap, and the exact similarity decides again.  Only components are wanted, so
+each shingle first compares its documents with one of them, a different one each
+time; then all pairs there that are not yet in one component are compared.
 
 Null and empty texts have fingerprint zero and are linked like any other; a
 null doc_id keeps its row and takes its group's smallest id; repeated rows give
@@ -173,8 +175,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternating large-star and small-star; every node keeps a bounded number of
     rows, and a round is two aggregations and two joins.
     """
+    begun, before = C.n_staged(), None
     now = C.stage(edges.filter("a != b").select("a", "b").distinct(), name)
-    before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -187,6 +189,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if seen == before:
             break
         before = seen
+    C.discard(edges.sparkSession, begun)
     roots = now.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).join(roots.select("node"), "node", "left_anti").distinct())
 
@@ -266,7 +269,7 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, counts: np.ndarray, shingle: int, p: int, q: int) -> DataFrame:
-    """``id``, ``s`` (the set's signature), ``n`` (its size), its map ``bits`` and the first shingles ``keys`` in the common order."""
+    """``id``, ``s`` (the set's signature), ``n`` (its size), the text's fingerprint ``fp``, the set's map ``bits`` and its first shingles ``keys`` in the common order."""
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +278,30 @@ def prefixes(texts: DataFrame, counts: np.ndarray, shingle: int, p: int, q: int)
             for a, b, buf, offs in C.slices(batch.column("text")):
                 sets = shingle_sets(buf, offs, shingle)
                 first = [x[np.argsort(often[_bucket(x)], kind="stable")[: len(x) + 1 + -len(x) * p // q]] for x in sets]
-                columns = [batch.column("id")[a:b], pa.array([_signature(x) for x in sets]), pa.array([len(x) for x in sets]), _longs([_bits(x) for x in sets]), _longs(first)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "bits", "keys"])
+                prints = np.frombuffer(b"".join(fingerprint(x.as_py(), shingle) for x in batch.column("text")[a:b]), ">i8").astype(np.int64)
+                columns = [batch.column("id")[a:b], pa.array([_signature(x) for x in sets]), pa.array([len(x) for x in sets]), pa.array(prints), _longs([_bits(x) for x in sets]), _longs(first)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "fp", "bits", "keys"])
 
-    return texts.mapInArrow(C.light(run), f"id {_ID}, s long, n long, bits array<long>, keys array<long>")
+    return texts.mapInArrow(C.light(run), f"id {_ID}, s long, n long, fp long, bits array<long>, keys array<long>")
+
+
+def linked(one: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a < b`` of sets ``s`` by their fingerprints ``fp``: sets of one fingerprint with the smallest of them, and linked fingerprints' smallest sets."""
+    prints = C.stage(one.groupBy("fp").agg(F.min("s").alias("id")).select("id", F.array("fp").alias("fp")), "prints")
+    same = one.select("s", "fp").join(prints.select("id", F.col("fp")[0].alias("fp")), "fp").filter("s != id")
+    return same.select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b")), C.stage(links(prints), "links")
+
+
+def unjoined(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that are not in one component yet."""
+    for x in ("a", "b"):
+        pairs = pairs.join(root.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    return pairs.filter("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, p: int, q: int) -> DataFrame:
     """The pairs ``a, b`` of signatures whose sets have a Jaccard similarity of at least p/q."""
+    begun = C.n_staged()
     asked = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     wanted = C.stage(reps.join(asked, "s", "left_semi").select(F.col("id").alias("__id")).distinct(), "asked")
     chosen = texts.join(C.small(wanted, 48, wanted.count()), F.col("id") == F.col("__id"), "left_semi")
@@ -298,7 +317,9 @@ def similar(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, p
         sets.select(F.col("s").alias("b"), F.col("hashes").alias("hb")), "b"
     )
     shared = F.size(F.array_intersect("ha", "hb")) * F.lit(p + q)
-    return C.stage(both.filter(shared >= F.lit(p) * (F.size("ha") + F.size("hb"))).select("a", "b"), "similar")
+    found = C.stage(both.filter(shared >= F.lit(p) * (F.size("ha") + F.size("hb"))).select("a", "b"), "similar")
+    C.discard(texts.sparkSession, begun)  # the sets are not read again
+    return found
 
 
 def classes(docs: DataFrame, shingle: int, similarity: float, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,19 +331,30 @@ def classes(docs: DataFrame, shingle: int, similarity: float, key: str = "doc_id
     reps = C.stage(found.groupBy("s").agg(F.min("id").alias("id")), "reps")
     # one row a set: copies never multiply
     one = found.join(reps, ["s", "id"], "left_semi").dropDuplicates(["s"])
+    # First the pairs that the anchors find: one link of each fingerprint; then the links that these do not settle.
+    same, near_prints = linked(one)
+    tried = C.stage(near_prints.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(same).distinct(), "tried")
+    edges = similar(tried, texts, reps, shingle, p, q)
+    root = components(edges)
+    del same
+    C.release(docs.sparkSession)  # the shuffles of the anchors go before those of the shingles come
+    # Then the pairs over 2 bits apart, which no anchor need find: the shingles lose none of them.
     rows = one.select("s", "n", F.posexplode("keys").alias("pos", "key")).select("key", "s", F.struct("n", "pos").alias("at"))
     at_key = Window.partitionBy("key")
     hub = F.min(F.struct(F.xxhash64("s", "key").alias("r"), "s", "at")).over(at_key)
     shared = rows.select("*", F.count("*").over(at_key).alias("m"), hub.alias("hub")).filter("m > 1")
     shared = C.stage(shared.select("key", "s", "at", "m", F.col("hub.s").alias("h"), F.col("hub.at").alias("h_at")), "shared")
+    del rows
+    C.release(docs.sparkSession)
 
     def enough(x: str, y: str) -> Column:
         """Where two sets first meet, the rest of the smaller one is the most that they can share."""
         return F.expr(f"{p + q} * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {p} * ({x}.n + {y}.n)")
 
     stars = shared.filter((F.col("s") != F.col("h")) & enough("at", "h_at"))
-    stars = C.stage(stars.select(F.least("s", "h").alias("a"), F.greatest("s", "h").alias("b")).distinct(), "stars")
-    edges = similar(stars, texts, reps, shingle, p, q)
+    stars = stars.select(F.least("s", "h").alias("a"), F.greatest("s", "h").alias("b")).unionByName(near_prints.select("a", "b")).distinct()
+    stars = C.stage(unjoined(stars, root).join(tried, ["a", "b"], "left_anti"), "stars")
+    edges = edges.unionByName(similar(stars, texts, reps, shingle, p, q))
     root = components(edges)
     named = shared.join(root, F.col("s") == F.col("node"), "left").select("key", "s", "at", "m", F.coalesce("root", "s").alias("c"))
     named = C.stage(named, "named")
@@ -337,7 +369,7 @@ def classes(docs: DataFrame, shingle: int, similarity: float, key: str = "doc_id
     # Sets that share x differ by n + n' - 2 x elements, so in at most as many bits of their maps: an exact bound on x.
     apart = " + ".join(f"bit_count(ba[{k}] ^ bb[{k}])" for k in range(4))
     close = F.expr(f"{p + q} * (a_at.n + b_at.n - ({apart})) >= {2 * p} * (a_at.n + b_at.n)")
-    rest = left.join(right, meet & enough("a_at", "b_at") & close).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = left.join(right, meet & enough("a_at", "b_at") & close).select("a", "b").distinct().join(stars.unionByName(tried), ["a", "b"], "left_anti")
     more = similar(C.stage(rest, "rest"), texts, reps, shingle, p, q)
     root = components(edges.unionByName(more))
     named = reps.join(root, F.col("s") == F.col("node"), "left").select("s", "id", F.coalesce("root", "s").alias("root"))
