@@ -27,6 +27,23 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return col(a) / F.when(b != 0, b)
 
 
+def round_half(x: Column | str, places: int) -> Column:
+    """Rounded as DuckDB's ``round`` does, from the binary value; Spark's rounds the shortest decimal text."""
+    return F.round(col(x) * 10.0**places) / 10.0**places
+
+
+def exact_sum(values: Column | str) -> Column:
+    """Sum of an array of doubles with the error of each addition carried along: rounded once, the same in any order of rows."""
+
+    def add(a: Column, x: Column) -> Column:
+        s = a["s"] + x
+        part = s - a["s"]
+        return F.struct(s.alias("s"), (a["e"] + ((a["s"] - (s - part)) + (x - part))).alias("e"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("e"))
+    return F.aggregate(F.array_sort(col(values)), zero, add, lambda a: F.nanvl(a["s"] + a["e"], a["s"]))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 

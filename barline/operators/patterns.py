@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import fsum
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import carried, clamp, guarded, last_n, over_time, ratio, until_now
+from ..functions.columns import carried, clamp, exact_sum, guarded, last_n, over_time, ratio, until_now
 
 # Fixed values.
 POLE, FLAG, POLE_MIN, RETRACE_MAX, RANGE_MAX, COOLDOWN = 10, 5, 0.06, 0.45, 0.5, 5
@@ -205,21 +206,27 @@ def profile(bars: DataFrame, n: int = PROFILE_BARS, bins: int = BINS) -> DataFra
     """C14: volume at price of each symbol's last ``n`` bars: ``symbol, bin, centre, volume``.
 
     A bar's volume is spread over the bins its range overlaps, in proportion; a
-    bar without range falls into one bin.
+    bar without range falls into one bin. Bins that the same bars cover whole hold
+    equal volumes but for the last digits of their edges, so sums are rounded once:
+    their order is then the same in every run.
     """
     recent = Window.partitionBy("symbol").orderBy(F.col("date").desc())
     b = bars.filter("high is not null and low is not null and volume is not null").withColumn("__k", F.row_number().over(recent)).filter(f"__k <= {n}")
     whole = Window.partitionBy("symbol")
     b = b.withColumns({"__lo": F.min("low").over(whole), "__hi": F.max("high").over(whole)}).filter("__hi > __lo")
     step = (F.col("__hi") - F.col("__lo")) / bins
-    cells = b.select("symbol", "date", "high", "low", "volume", "__lo", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    a = F.col("__lo") + F.col("bin") * F.col("step")
-    overlap = F.greatest(F.least(F.col("high"), a + F.col("step")) - F.greatest(F.col("low"), a), F.lit(0.0))
-    point = F.when(F.least(F.lit(bins - 1), F.floor((F.col("low") - F.col("__lo")) / F.col("step"))) == F.col("bin"), 1.0).otherwise(0.0)
-    cells = cells.withColumn("__w", F.when(F.col("high") > F.col("low"), overlap).otherwise(point))
-    bar = Window.partitionBy("symbol", "date")
-    share = F.col("volume") * ratio("__w", F.sum("__w").over(bar))
-    return cells.select("symbol", "bin", (a + F.col("step") / 2).alias("centre"), share.alias("v")).groupBy("symbol", "bin").agg(F.max("centre").alias("centre"), F.sum(F.coalesce("v", F.lit(0.0))).alias("volume"))
+    edge = lambda k: F.col("__lo") + k * F.col("step")
+
+    def weight(k: Column) -> Column:
+        overlap = F.greatest(F.least(F.col("high"), edge(k) + F.col("step")) - F.greatest(F.col("low"), edge(k)), F.lit(0.0))
+        point = F.when(F.least(F.lit(bins - 1), F.floor((F.col("low") - F.col("__lo")) / F.col("step"))) == k, 1.0).otherwise(0.0)
+        return F.when(F.col("high") > F.col("low"), overlap).otherwise(point)
+
+    b = b.select("symbol", "high", "low", "volume", "__lo", step.alias("step")).withColumn("__w", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), weight))
+    cells = b.withColumn("__all", exact_sum("__w")).select("symbol", "volume", "__lo", "step", "__all", F.posexplode("__w").alias("bin", "w"))
+    share = F.coalesce(ratio(F.col("volume") * F.col("w"), "__all"), F.lit(0.0))
+    cells = cells.select("symbol", "bin", (edge(F.col("bin")) + F.col("step") / 2).alias("centre"), share.alias("v"))
+    return cells.groupBy("symbol", "bin").agg(F.max("centre").alias("centre"), exact_sum(F.collect_list("v")).alias("volume"))
 
 
 #: Fixed values of a profile's shape: no dominant level, lesser peaks, valleys between peaks, high and low levels, nearness of nodes.
@@ -231,7 +238,7 @@ def _grown(v: np.ndarray, share: float) -> tuple[int, int, int]:
     poc = int(v.argmax())
     walls = np.concatenate([[-1.0], v, [-1.0]])
     lo = hi = poc + 1
-    got, want = v[poc], share * v.sum()
+    got, want = v[poc], share * fsum(v)
     while got < want and (lo > 1 or hi < len(v)):
         up = walls[hi + 1] >= walls[lo - 1]
         hi, lo = hi + up, lo - (not up)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,6 @@ def oracle(name: str, sql: str) -> None:
     ORACLE_SQL[name] = re.sub(r"count_if\(([^()]*)\)", r"count(*) FILTER (\1)", sql)
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+def rounded(df: DataFrame, places: int = 6, by: Callable[[str, int], Column] = F.round) -> DataFrame:
     """Floating-point columns rounded, so that results compare by value."""
-    return df.select(*[(F.round(n, places) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+    return df.select(*[(by(n, places) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import ratio, round_half
 from ..functions.recursive import span
 from ..operators import breadth, indicators, patterns, screen, series
 from ..sources import bars as B
@@ -122,7 +122,7 @@ def volume_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c15_value_area")
 def value_area(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(patterns.value_area(patterns.profile(B.nation_bars(spark, sf))).select("symbol", "poc", "val", "vah", "poc_position"))
+    return rounded(patterns.value_area(patterns.profile(B.nation_bars(spark, sf))).select("symbol", "poc", "val", "vah", "poc_position"), by=round_half)
 
 
 def _build_snapshot(spark: SparkSession, sf: str) -> DataFrame:
