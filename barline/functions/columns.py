@@ -32,6 +32,11 @@ def round_half(x: Column | str, places: int) -> Column:
     return F.round(col(x) * 10.0**places) / 10.0**places
 
 
+def round_even(x: Column | str, places: int) -> Column:
+    """``round_half`` with ties to the even digit, as DuckDB's ``round_even``; small negative values give -0.0, as there."""
+    return F.rint(col(x) * 10.0**places) / 10.0**places
+
+
 def exact_sum(values: Column | str) -> Column:
     """Sum of an array of doubles with the error of each addition carried along: rounded once, the same in any order of rows."""
 

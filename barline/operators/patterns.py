@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import carried, clamp, exact_sum, guarded, last_n, over_time, ratio, until_now
+from ..functions.columns import carried, clamp, exact_sum, guarded, last_n, over_time, ratio, round_even, until_now
 
 # Fixed values.
 POLE, FLAG, POLE_MIN, RETRACE_MAX, RANGE_MAX, COOLDOWN = 10, 5, 0.06, 0.45, 0.5, 5
@@ -253,7 +253,7 @@ def _shape(v: np.ndarray, tops: np.ndarray, poc: int) -> str:
         for b in high[k + 1 :]:
             if b > a + 1 and v[a + 1 : b].min() <= VALLEY_SHARE * min(v[a], v[b]):
                 return "B"
-    if v.max() < FLAT_PEAK * v.sum() / np.count_nonzero(v):
+    if v.max() / (fsum(v) / np.count_nonzero(v)) < FLAT_PEAK:
         return "trend"
     place = poc / (len(v) - 1)
     return "P" if place >= POC_HIGH else "b" if place <= POC_LOW else "D"
@@ -277,9 +277,10 @@ def value_area(cells: DataFrame, share: float = VALUE_SHARE) -> DataFrame:
                 rise, fall = np.diff(v)[:-1], np.diff(v)[1:]
                 tops, bottoms = np.flatnonzero((rise > 0) & (fall <= 0)) + 1, np.flatnonzero((rise < 0) & (fall >= 0)) + 1
                 nodes = tops[(v[tops] >= PEAK_SHARE * v.max()) & (tops != poc)]
-                mean = np.average(x, weights=v)
-                spread = np.average((x - mean) ** 2, weights=v)
-                skew = np.average((x - mean) ** 3, weights=v) / spread**1.5 if spread > 0 else 0.0
+                total = fsum(v)
+                mean = fsum(x * v) / total
+                spread = fsum(v * (x - mean) ** 2) / total
+                skew = fsum(v * (x - mean) ** 3) / total / spread**1.5 if spread > 0 else 0.0
                 out.append((symbol, x[poc], x[lo], x[hi], poc / (len(v) - 1), _shape(v, tops, poc), skew, list(x[nodes]), list(x[bottoms])))
             yield pd.DataFrame(out, columns=["symbol", "poc", "val", "vah", "poc_position", "shape", "skew", "hvn", "lvn"])
 
@@ -296,7 +297,7 @@ def profile_now(bars: DataFrame, areas: DataFrame) -> DataFrame:
     a = a.withColumns(
         {
             "zone": zone(px, F.col("val"), F.col("vah")),
-            "poc_dist_pct": F.bround(100 * (px - F.col("poc")) / F.when(F.col("poc") != 0, F.col("poc")), 2),
+            "poc_dist_pct": round_even(100 * (px - F.col("poc")) / F.when(F.col("poc") != 0, F.col("poc")), 2),
             "near_hvn": near(F.array_append("hvn", F.col("poc"))),
             "near_lvn": near(F.col("lvn")),
         }

@@ -53,3 +53,14 @@ def test_ends_of_areas_are_equal_to_the_last_digit(spark):
     want = con.execute(f"SELECT symbol, val, vah FROM ({entry.oracle_sql()['c15_value_area']}) ORDER BY symbol").fetchall()
     got = entry.queries()["c15_value_area"](spark, SF).orderBy("symbol").select("symbol", "val", "vah").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_distances_round_as_sql_rounds(spark):
+    """Places after the second that are a 5 in decimal text only: the binary value decides."""
+    rows = [(f"S{i}", datetime.date(2026, 1, 1), 100 + i / 200) for i in range(-150, 400)]
+    last = spark.createDataFrame(rows, "symbol string, date date, close double")
+    areas = last.selectExpr("symbol", "100D AS poc", "99D AS val", "102D AS vah", "'D' AS shape", "array(101D) AS hvn", "array(98D) AS lvn")
+    got = {r["symbol"]: repr(r["poc_dist_pct"]) for r in patterns.profile_now(last, areas).collect()}
+    con = duckdb.connect()
+    want = con.execute("SELECT 'S' || i, round_even(100 * (px - poc) / poc, 2) FROM (SELECT i, 100 + i / 200::DOUBLE AS px, 100::DOUBLE AS poc FROM range(-150, 400) r(i))").fetchall()
+    assert got == {symbol: repr(x) for symbol, x in want}
