@@ -349,15 +349,19 @@ def live_rvol(volume: Column, average: Column, fraction: Column) -> Column:
     return F.when((volume > 0) & (average > 0), volume / (average * fraction))
 
 
-def sponsorship(ownership: DataFrame) -> DataFrame:
-    """Latest institutional share and holders with changes, signed strength and score."""
-    w = Window.partitionBy("symbol").orderBy("date_reported")
+def sponsorship(ownership: DataFrame, missing: bool = False) -> DataFrame:
+    """Latest institutional share and holders with changes, signed strength and score.
+
+    A symbol without a latest share is left out unless ``missing``.
+    """
+    w = Window.partitionBy("symbol").orderBy(F.col("date_reported").asc_nulls_last())
     o = ownership.withColumns({"pct_prev": F.lag("pct_held").over(w), "holders_prev": F.lag("holders_count").over(w), "__k": F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date_reported").desc()))})
-    o = o.filter("__k = 1 and pct_held is not null")
-    delta, holders = F.col("pct_held") - F.col("pct_prev"), F.col("holders_count") - F.col("holders_prev")
-    o = o.withColumns({"delta": F.bround(delta, 4), "holders_delta": holders, "pct_held": F.bround("pct_held", 4)})
-    trend = F.when(delta.isNull(), "unknown").when(delta > 0, "accumulating").when(delta < 0, "distributing").otherwise("flat")
+    o = o.filter("__k = 1" if missing else "__k = 1 and pct_held is not null")
+    now, then = F.col("pct_held"), F.col("pct_prev")
+    trend = F.when((now - then).isNull(), "unknown").when(now > then, "accumulating").when(now < then, "distributing").otherwise("flat")
+    holders = F.col("holders_count") - F.col("holders_prev")
+    o = o.withColumns({"trend": trend, "delta": round_even(now - then, 4), "holders_delta": holders, "pct_held": round_even(now, 4)})  # the trend is of unrounded shares
     level = F.when(F.col("pct_held") < 0.15, -0.3).when(F.col("pct_held") > 0.92, -0.2).otherwise(0.2)
     s = level + F.coalesce(clamp(F.col("delta") / 0.05, -1.0, 1.0) * 0.6, F.lit(0.0)) + F.coalesce(0.2 * F.signum(F.col("holders_delta")), F.lit(0.0))
-    o = o.withColumns({"trend": trend, "inst_strength": clamp(s, -1.0, 1.0)})
+    o = o.withColumn("inst_strength", clamp(s, -1.0, 1.0))
     return o.select("symbol", "pct_held", "delta", "holders_delta", "trend", "inst_strength", F.bround(50 + 50 * F.col("inst_strength"), 1).alias("inst_score"))
